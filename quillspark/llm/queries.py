@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, token_files, topk
+from . import byte_bpe, packing, token_files, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,5 +42,9 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-QUERIES = {f.__name__: f for f in (op4_packing, op9_token_files, op10_topk)}
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encode_decode(_documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op4_packing, op8_byte_bpe, op9_token_files, op10_topk)}
 ORACLE_SQL: dict[str, str] = {"op10_topk": OP10_SQL}
