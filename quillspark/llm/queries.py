@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, token_files, topk
+from . import byte_bpe, packing, simhash, token_files, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_documents(spark, sf_dir))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_sequences(_documents(spark, sf_dir))
 
@@ -46,5 +50,5 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op4_packing, op8_byte_bpe, op9_token_files, op10_topk)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op4_packing, op8_byte_bpe, op9_token_files, op10_topk)}
 ORACLE_SQL: dict[str, str] = {"op10_topk": OP10_SQL}
