@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, packing, simhash, token_files, topk
+from . import byte_bpe, language, packing, simhash, token_files, topk
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,9 +46,16 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    held = language.held_out("doc_id", 4, 2)
+    profiles = language.learn(docs.where(~held))
+    return language.identify(docs, profiles).select("doc_id", held.alias("held_out"), "lang_pred", "score")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_packing, op8_byte_bpe, op9_token_files, op10_topk)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op4_packing, op6_language, op8_byte_bpe, op9_token_files, op10_topk)}
 ORACLE_SQL: dict[str, str] = {"op10_topk": OP10_SQL}
