@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, packing, simhash, token_files, topk
+from . import byte_bpe, language, packing, simhash, token_files, topk, webp
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,9 +53,13 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, profiles).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op7_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webp.media_columns(_documents(spark, sf_dir))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op4_packing, op6_language, op8_byte_bpe, op9_token_files, op10_topk)}
+QUERIES = {f.__name__: f for f in (op2_simhash, op4_packing, op6_language, op7_webp, op8_byte_bpe, op9_token_files, op10_topk)}
 ORACLE_SQL: dict[str, str] = {"op10_topk": OP10_SQL}
