@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, line_dedup, packing, simhash, token_files, topk, webp
+from . import byte_bpe, language, line_dedup, packing, simhash, substring_dedup, token_files, topk, webp
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_digest(_documents(spark, sf_dir))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_sequences(_documents(spark, sf_dir))
 
@@ -66,5 +70,5 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op4_packing, op6_language, op7_webp, op8_byte_bpe, op9_token_files, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_substring_dedup, op4_packing, op6_language, op7_webp, op8_byte_bpe, op9_token_files, op10_topk)}
 ORACLE_SQL: dict[str, str] = {"op10_topk": OP10_SQL}

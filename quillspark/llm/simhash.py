@@ -51,15 +51,16 @@ def fingerprint(text: bytes, n_words: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 4) -> DataFrame:
-    """``(doc_id, bits)``; bits holds the unsigned fingerprint in a signed 64-bit column."""
+    """``(doc_id, hash, bits)``: a hash of the text, and the unsigned fingerprint in a signed 64-bit column."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 bits = np.array([fingerprint(t, n_words) for t in storage.texts_of(batch.column(1).slice(at, 1024))], "<u8")
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1024), pa.array(bits.view("<i8"))], ["doc_id", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1024), batch.column(2).slice(at, 1024), pa.array(bits.view("<i8"))], ["doc_id", "hash", "bits"])
 
-    chosen = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, bits long")
+    text = F.col(text_col).cast("string")
+    chosen = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
+    return chosen.mapInArrow(run, "doc_id long, hash long, bits long")
 
 
 def band_masks(n: int, radius: int, most_per_bucket: float = 2.0) -> list[int]:
@@ -240,12 +241,27 @@ def links(distinct: DataFrame, radius: int = 4, piece: int = 2048) -> DataFrame:
     return sorted_.mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 4, radius: int = 4) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)`` for each row of ``df``."""
+def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 4, radius: int = 4) -> DataFrame:
+    """``(doc_id, hash, bits, label, component_id)`` for each row; equal labels are one group."""
     prints = storage.settle(fingerprints(df, id_col, text_col, n_words), "simhash")
     distinct = storage.settle(prints.groupBy("bits").agg(F.min("doc_id").alias("first")), "simhash-distinct")
-    labels = components(links(distinct.select("bits"), radius))
-    grouped = distinct.join(labels.withColumnRenamed("node", "bits"), "bits")
-    least = storage.settle(grouped.groupBy("label").agg(F.min("first").alias("least")), "simhash-least")
-    component = storage.settle(distinct.join(labels.withColumnRenamed("node", "bits"), "bits", "left").join(least, "label", "left").select("bits", F.when(F.col("label").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id")), "simhash-component")
-    return prints.join(component, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+    labels = components(links(distinct.select("bits"), radius)).withColumnRenamed("node", "bits")
+    labelled = storage.settle(distinct.join(labels, "bits", "left").select("bits", "first", F.coalesce("label", "bits").alias("label")), "simhash-labels")
+    least = storage.settle(labelled.groupBy("label").agg(F.min("first").alias("component_id")), "simhash-least")
+    named = storage.settle(labelled.join(least, "label").select("bits", "label", "component_id"), "simhash-named")
+    return prints.join(named, "bits")
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 4, radius: int = 4) -> DataFrame:
+    """``(doc_id, fingerprint, component_id)`` for each row of ``df``."""
+    return grouped(df, id_col, text_col, n_words, radius).select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 4, radius: int = 4) -> DataFrame:
+    """One row of each group, all columns: the smallest id (rows without id come last), then the least text hash."""
+    order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("hash").alias("c"))
+    chosen = grouped(df, id_col, text_col, n_words, radius).groupBy("label").agg(F.min(order).alias("f"))
+    keys = storage.settle(chosen.select(F.xxhash64("f.b", "f.c").alias("__key")), "simhash-kept")
+    text = F.col(text_col).cast("string")
+    keyed = df.withColumn("__key", F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text)))
+    return keyed.join(keys, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
