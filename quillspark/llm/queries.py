@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language, line_dedup, packing, simhash, substring_dedup, token_files, topk, webp
+from . import byte_bpe, language, language_model, line_dedup, packing, simhash, substring_dedup, token_files, topk, webp
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,10 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.held_out_scores(_documents(spark, sf_dir), order=2)
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     held = language.held_out("doc_id", 4, 2)
@@ -70,5 +74,5 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_substring_dedup, op4_packing, op6_language, op7_webp, op8_byte_bpe, op9_token_files, op10_topk)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_simhash, op3_substring_dedup, op4_packing, op5_language_model, op6_language, op7_webp, op8_byte_bpe, op9_token_files, op10_topk)}
 ORACLE_SQL: dict[str, str] = {"op10_topk": OP10_SQL}
