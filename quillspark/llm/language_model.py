@@ -142,8 +142,8 @@ class Level:
 
     def _by_part(self, parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         order = np.argsort(parts, kind="stable")
-        heads = np.flatnonzero(np.concatenate(([True], parts[order][1:] != parts[order][:-1]))) if len(order) else []
-        for a, b in zip(heads, [*heads[1:], len(order)], strict=True):
+        heads = np.flatnonzero(np.concatenate(([True], parts[order][1:] != parts[order][:-1])))[: len(order)]
+        for a, b in zip(heads, [*heads[1:], len(order)], strict=False):
             if (p := int(parts[order[a]])) in self.files:
                 yield p, order[a:b]
 
@@ -276,7 +276,7 @@ def _deal(keys: np.ndarray, counts: np.ndarray, parts: np.ndarray) -> list[tuple
     keys, counts, parts = keys[order], counts[order], parts[order]
     heads = np.flatnonzero(np.concatenate(([True], parts[1:] != parts[:-1]))) if len(parts) else np.empty(0, np.int64)
     # Steps between sorted keys are small numbers, which compress well.
-    return [(int(parts[a]), 1, np.diff(keys[a:b], prepend=U(0)).tobytes() + counts[a:b].astype(np.uint32).tobytes()) for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(parts)], strict=True)]
+    return [(int(parts[a]), 1, np.diff(keys[a:b], prepend=U(0)).tobytes() + counts[a:b].astype(np.uint32).tobytes()) for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(parts)], strict=False)]
 
 
 def _received(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
