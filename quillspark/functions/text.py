@@ -132,7 +132,7 @@ def classify_href(href: Column, base_path: Column) -> Column:
     before, after = F.substring_index(h, "#", 1), F.regexp_extract(h, "(?s)^[^#]*#(.*)$", 1)
     path = relative_path(base_path, percent_decode(F.substring_index(before, "?", 1)))
     return (
-        F.when(h == "", F.lit(None))
+        F.when(h.isNull() | (h == ""), F.lit(None))
         .when(h.startswith("#"), link("anchor", fragment=percent_decode(F.substr(h, F.lit(2)))))
         .when(h.startswith("//") | h.contains("://") | has_scheme(h), link("external", url=h))
         .otherwise(link("internal", path=path, fragment=percent_decode(F.nullif(after, F.lit("")))))

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import settled
 
-def _doubled(jump: DataFrame, rounds: int, carry: Column | None) -> DataFrame:
-    """Follow pointers (entry, at, hops, fragment) to their ends, twice as far each round."""
-    for _ in range(rounds):
+
+def _followed(jump: DataFrame, most_hops: int) -> DataFrame:
+    """Pointers (entry, at, hops, fragment) followed to their ends, twice as far each round.
+
+    Rounds end when nothing moves any more, or all chains of ``most_hops`` must have ended.
+    """
+    jump = settled(jump)
+    for _ in range(most_hops.bit_length()):
         further = jump.select(F.col("entry").alias("__from"), F.col("at").alias("__at"), F.col("hops").alias("__hops"), F.col("fragment").alias("__fragment"))
         joined = jump.join(further, F.col("at") == F.col("__from"), "left")
-        jump = joined.select("entry", F.coalesce("__at", "at").alias("at"), (F.col("hops") + F.coalesce("__hops", F.lit(0))).alias("hops"), F.coalesce("fragment", "__fragment").alias("fragment"))
+        moved = settled(joined.select("entry", F.coalesce("__at", "at").alias("at"), (F.col("hops") + F.coalesce("__hops", F.lit(0))).alias("hops"), F.coalesce("fragment", "__fragment").alias("fragment"), F.col("__at").isNotNull().alias("__moved")))
+        jump = moved.drop("__moved")
+        if moved.where("__moved").isEmpty():
+            break
     return jump
 
 
@@ -22,7 +31,7 @@ def resolve_redirects(redirects: DataFrame, most_hops: int = 49) -> DataFrame:
     doubling takes log2 of that many joins, whatever the data.
     """
     jump = redirects.select("entry", F.col("target").alias("at"), F.lit(1).cast("bigint").alias("hops"), F.lit(None).cast("string").alias("fragment"))
-    ended = _doubled(jump, most_hops.bit_length(), None)
+    ended = _followed(jump, most_hops)
     ends = ended.join(redirects.select(F.col("entry").alias("at")), "at", "left_anti")
     return ends.where(F.col("hops") <= most_hops).select("entry", F.col("at").alias("target"))
 
@@ -35,7 +44,7 @@ def collapse_stubs(stubs: DataFrame, most_hops: int = 8) -> DataFrame:
     """
     once = stubs.groupBy("stub").agg(F.min(F.struct("target", "fragment")).alias("s")).select("stub", "s.target", "s.fragment")
     jump = once.select(F.col("stub").alias("entry"), F.col("target").alias("at"), F.lit(1).cast("bigint").alias("hops"), "fragment")
-    ended = _doubled(jump, most_hops.bit_length(), F.col("fragment"))
+    ended = _followed(jump, most_hops)
     ends = ended.join(once.select(F.col("stub").alias("at")), "at", "left_anti").where(F.col("hops") <= most_hops)
     return ends.select(F.col("entry").alias("stub"), F.col("at").alias("target"), "fragment")
 
