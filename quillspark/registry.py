@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import text
-from .operators import catalog, fulltext, graph, sections, titles
+from .operators import catalog, document, fulltext, graph, sections, titles
+from .plans import build
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -488,3 +489,97 @@ SELECT position, canonical, imported FROM g QUALIFY row_number() OVER (PARTITION
 def same_file_dedup(spark, sf_dir):
     given = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("position"), F.col("o_custkey").alias("canonical"), (F.col("o_orderstatus") == "F").alias("imported"))
     return catalog.same_files(given)
+
+
+def _pages(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return pages.select(F.col("page_id").alias("entry"), F.regexp_replace("url", "^[^:]*://[^/]*/?", "").alias("path"), F.col("url").alias("title"), "html")
+
+
+@query()
+def html_documents(spark, sf_dir):
+    """Every page parsed: what it holds, in numbers."""
+    docs = document.parse_documents(_pages(spark, sf_dir))
+    return docs.select("entry", "title", F.size("sections").alias("n_sections"), F.size("links").alias("n_links"), F.char_length("body").alias("n_chars"), F.md5(F.col("body").cast("binary")).alias("body_md5"), "summary")
+
+
+@query()
+def document_json(spark, sf_dir):
+    """Documents as JSON, by their digests."""
+    docs = document.parse_documents(_pages(spark, sf_dir))
+    return docs.select("entry", F.sha2(F.to_json(F.struct("title", "sections")), 256).alias("json_sha256"))
+
+
+@query()
+def page_links(spark, sf_dir):
+    """Links of parsed pages, resolved among the pages themselves."""
+    pages = _pages(spark, sf_dir)
+    links = document.link_rows(document.parse_documents(pages))
+    paths = pages.groupBy("path").agg(F.min("entry").alias("entry"))
+    none = spark.createDataFrame([], "stub long, target long, fragment string")
+    resolved = graph.resolve_links(links.where("kind = 'internal'").select("src", "pos", "path", "fragment"), paths, none)
+    return resolved.select("src", "pos", "path", "target", "fragment")
+
+
+@query()
+def stemmed_search(spark, sf_dir):
+    """Search over stems: other forms of the words count too."""
+    docs = _text_docs(spark, sf_dir)
+    posted = fulltext.postings(docs, stem=True)
+    none = spark.createDataFrame([], "node long, inbound long")
+    return fulltext.search(posted, fulltext.field_stats(posted, docs), none, "being others", 10, stem=True)
+
+
+@query("SELECT p_partkey AS entry FROM part ORDER BY 1 LIMIT 1 OFFSET (SELECT CAST('16294208416658607535'::UHUGEINT % count(*) AS BIGINT) FROM part)")
+def random_pick(spark, sf_dir):
+    """The part that seed 0 picks."""
+    return sections.random_article(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry")), 0)
+
+
+@query("""
+SELECT count(*) AS entries, count(*) FILTER (WHERE octet_length(encode(html)) <= 4096 AND regexp_matches(html, '(?is)<meta[^>]*http-equiv\\s*=\\s*["'']?refresh["'']?[^>]*url\\s*=')) AS stubs,
+  count(DISTINCT regexp_replace(url, '^[^:]*://[^/]*/?', '')) AS paths, CAST(sum(octet_length(encode(html))) AS BIGINT) AS bytes FROM pages
+""")
+def page_entries(spark, sf_dir):
+    """Pages as archive entries, and which of them are mere refreshes."""
+    entries = build.page_entries(table(spark, sf_dir, "pages"))
+    html = F.col("content").cast("string")
+    return entries.agg(F.count("*").alias("entries"), F.count_if(build.stub_href(html).isNotNull()).alias("stubs"), F.countDistinct("path").alias("paths"), F.sum(F.octet_length("content")).alias("bytes"))
+
+
+@query("""
+SELECT doc_id, length(text) > 40 AS cut, CASE WHEN length(t) > 40 THEN left(t, 40) || '…' ELSE t END AS echo FROM (
+  SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(left(text, 300), '[\\x{00}-\\x{09}\\x{0b}-\\x{1f}\\x{7f}-\\x{9f}]', '', 'g'), '[\\x{202a}-\\x{202e}\\x{2066}-\\x{2069}]', '', 'g'), '[%s]+', ' ', 'g')) AS t FROM documents)
+""" % W)
+def echo_line(spark, sf_dir):
+    """Text as a message repeats it."""
+    return table(spark, sf_dir, "documents").select("doc_id", (F.char_length("text") > 40).alias("cut"), text.echo(F.left("text", F.lit(300)), 40).alias("echo"))
+
+
+@query("""
+SELECT doc_id, len(w) AS n_terms, array_to_string(w[1:5], ' ') AS first_terms FROM (
+  SELECT doc_id, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) BETWEEN 1 AND 40) AS w FROM documents)
+""")
+def tokenize(spark, sf_dir):
+    found = text.terms(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("n_terms"), F.array_join(F.slice(found, 1, 5), " ").alias("first_terms"))
+
+
+@query("""
+WITH f AS (SELECT doc_id AS entry, list_filter(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), lambda w: length(w) BETWEEN 1 AND 40) AS words FROM documents),
+t AS (SELECT entry, len(words) AS len, unnest(words) AS term FROM f), p AS (SELECT term, entry, count(*) AS tf FROM t GROUP BY ALL)
+SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY 1
+""")
+def posting_statistics(spark, sf_dir):
+    """Documents and occurrences of each term."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry"), F.col("text").alias("body"))
+    return fulltext.postings(docs, ("body",)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query("""
+SELECT p_partkey AS entry, CASE WHEN p_size % 2 = 0 THEN p_name ELSE p_brand END AS title, CASE WHEN p_size % 2 = 0 THEN p_name END AS raw_title FROM part
+""")
+def title_fallback(spark, sf_dir):
+    """An empty stored title gives way to the path."""
+    raw = F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise("")
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry"), F.coalesce(F.nullif(raw, F.lit("")), "p_brand").alias("title"), F.nullif(raw, F.lit("")).alias("raw_title"))
