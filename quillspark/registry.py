@@ -530,7 +530,7 @@ def stemmed_search(spark, sf_dir):
     return fulltext.search(posted, fulltext.field_stats(posted, docs), none, "being others", 10, stem=True)
 
 
-@query("SELECT p_partkey AS entry FROM part ORDER BY 1 LIMIT 1 OFFSET (SELECT CAST('16294208416658607535'::UHUGEINT % count(*) AS BIGINT) FROM part)")
+@query("SELECT p_partkey AS entry FROM part ORDER BY 1 LIMIT 1 OFFSET (SELECT CAST('16294208416658607535'::UHUGEINT % count(*)::UHUGEINT AS BIGINT) FROM part)")
 def random_pick(spark, sf_dir):
     """The part that seed 0 picks."""
     return sections.random_article(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry")), 0)
