@@ -130,7 +130,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     gone = removals(df, id_col, text_col, min_chars).withColumnsRenamed({"key": "__key", "gone": "__gone"})
     df = df.drop("n_lines", "n_removed")
     text = F.col(text_col).cast("string")
-    joined = df.withColumn("__key", _key(F.col(id_col).cast("long"), text)).join(gone, "__key", "left")
+    # A sort-merge join whatever the sizes: a plan that turns with them cannot be judged on small inputs.
+    joined = df.withColumn("__key", _key(F.col(id_col).cast("long"), text)).join(gone.hint("merge"), "__key", "left")
     lines = F.split(text, "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     cut = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
