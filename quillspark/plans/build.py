@@ -67,7 +67,7 @@ def parts(entries: DataFrame, front: DataFrame | None = None, stem: bool = False
     return {"paths": paths, "documents": documents, "links": resolved.unionByName(others), "inbound": inbound, "stubs": stubs, "titles": titles.build_titles(rows, inbound), "postings": posted, "stats": fulltext.field_stats(posted, documents.select("entry")), "entries": entries.drop("content")}
 
 
-def build_index(spark: SparkSession, entries: DataFrame, out: str, front: DataFrame | None = None, scraper: str | None = None, name: str = "", any_producer: bool = True, stem: bool = False) -> dict:
+def build_index(spark: SparkSession, entries: DataFrame, out: str, front: DataFrame | None = None, scraper: str | None = None, name: str = "", any_producer: bool = True, stem: bool = False, source: dict | None = None) -> dict:
     """Write the index of ``entries`` to ``out`` and return its counters."""
     if not any_producer and not (scraper or "").lower().startswith(catalog.PRODUCER):
         raise WrongProducer(f"made by {scraper or 'an unknown program'}")
@@ -85,7 +85,7 @@ def build_index(spark: SparkSession, entries: DataFrame, out: str, front: DataFr
             made[table].write.mode("overwrite").parquet(f"{staging}/{table}")
     read = lambda t: spark.read.parquet(f"{staging}/{t}")
     links = read("links")
-    meta = {
+    meta = (source or {}) | {
         "format": FORMAT, "built": int(time.time()), "name": name, "label": re.sub("_.*", "", name).lower() or None,
         "articles": read("documents").count(), "section_redirects": read("stubs").count(), "title_keys": read("titles").count(),
         "redirects": read("titles").where("entry <> target").count() - read("titles").join(read("stubs"), F.col("entry") == F.col("stub"), "left_semi").count(),
@@ -106,7 +106,7 @@ def build_archive(spark: SparkSession, path: str, out: str, any_producer: bool =
     scraper, name = archive.metadata("Scraper"), archive.metadata("Name") or ""
     front = spark.createDataFrame([(i,) for i in archive.front_articles()], "entry long")
     entries = spark.read.format("archive").option("namespace", archive.article_namespace).load(path)
-    return build_index(spark, entries.drop("cluster", "blob", "raw_title", "namespace"), out, front, scraper, name, any_producer, stem)
+    return build_index(spark, entries.drop("cluster", "blob", "raw_title", "namespace"), out, front, scraper, name, any_producer, stem, {"uuid": archive.uuid.hex(), "source_bytes": archive.size, "title": archive.metadata("Title")})
 
 
 def build_all(spark: SparkSession, files: list[str], out: str, force: bool = False, any_producer: bool = False) -> dict[str, dict | Exception]:

@@ -120,3 +120,21 @@ def test_wrong_producer(spark, tmp_path):
     archive.write_archive(path := str(tmp_path / "b.zim"), [e for e in entries() if e["path"] != "Scraper"])
     out = build.build_all(spark, [path, str(tmp_path / "none.zim")], str(tmp_path / "idx"))
     assert isinstance(out[path], build.WrongProducer) and all(isinstance(x, Exception) for x in out.values())
+
+
+def test_collections(spark, library, tmp_path):
+    from quillspark.plans import collections
+
+    zim = library.path.replace("/idx/tiny", "/tiny.zim")
+    found = collections.open_collections(spark, {library.path: zim, str(tmp_path / "none"): None})
+    assert found.default == "tiny" and found.skipped[0][1] == "not imported"
+    assert found.select().library().article_count == 4
+    assert "tiny" in collections.summary(found) and collections.elsewhere(found, "other", "café") == ["tiny"]
+    archive.write_archive(other := str(tmp_path / "other.zim"), entries()[:2] + entries()[-2:])
+    wrong = collections.open_collections(spark, {library.path: other}).select()
+    for _ in range(2):
+        with pytest.raises(ValueError, match="another file"):
+            wrong.library()
+    with pytest.raises(ValueError):
+        collections.open_collections(spark, {str(tmp_path / "none"): None})
+    assert collections.search_text(library.search("measuring"), 3).startswith("Best 1 matches:")
