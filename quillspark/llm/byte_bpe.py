@@ -44,7 +44,7 @@ def byte_letters() -> dict[str, int]:
 
 
 class ByteBpe:
-    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 800_000, longest: int = 64):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_letters()
