@@ -44,8 +44,8 @@ from .suffix_array import repeat_classes
 
 GRAM, MANY = 32, 400
 NO_ID = -(1 << 63)
-CHUNK = 1 << 20  # bytes hashed at once
-FLUSH = 400_000  # records sorted at once
+CHUNK = 1 << 19  # bytes hashed at once
+FLUSH = 250_000  # records sorted at once
 U = np.uint64
 BASES = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))
 
@@ -59,7 +59,7 @@ def letters() -> np.ndarray:
     return np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=8)
 def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a base and of its inverse, modulo 2**64."""
     base = BASES[which]
@@ -75,7 +75,7 @@ class Rolling:
     """Hashes of any piece of a run of bytes."""
 
     def __init__(self, data: np.ndarray, which: int):
-        size = 1 << max(16, len(data).bit_length())
+        size = 1 << max(20, len(data).bit_length())
         self.up, self.down = powers(which, size)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(letters()[data] * self.up[: len(data)], out=self.sums[1:])
@@ -122,7 +122,8 @@ def anchors(data: np.ndarray, bounds: np.ndarray, length: int, gram: int = GRAM)
     position = at[begin]
     document = np.searchsorted(bounds, begin, side="right") - 1
     context = Rolling(data, 1).hash(begin, span + length) ^ mixed((position - begin + (span << 20)).astype(np.uint64) + U(77))
-    return document, position, position - begin, span, grams[position], context
+    # Least hashes lie near 0; mixed once more they are even again, so that parts are.
+    return document, position, position - begin, span, mixed(grams[position] + U(99)), context
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -288,7 +289,7 @@ def fetch_contexts(texts: DataFrame, length: int, n: int) -> DataFrame:
                 edges = [0, *(np.flatnonzero(parts[1:] != parts[:-1]) + 1).tolist(), len(held)]
                 for a, b in zip(edges, edges[1:], strict=False):
                     some = held[a:b]
-                    columns = [np.array([r[1 + i] for r in some], k) for i, k in enumerate(PLACE)]
+                    columns = [np.array([r[i] for r in some], k) for i, k in enumerate(("<u8", *PLACE))]
                     rows.append((int(parts[a]), 1, [*columns, np.frombuffer(b"".join(r[6] for r in some), np.uint8)]))
             if windows:
                 columns, first = settled([np.concatenate(c) for c in zip(*windows, strict=True)], 2)
@@ -297,10 +298,10 @@ def fetch_contexts(texts: DataFrame, length: int, n: int) -> DataFrame:
                 yield packed_rows(rows)
 
         for batch in batches:
-            ids, hashes, wanted = (batch.column(i).to_pylist() for i in (0, 1, 3))
-            for at in range(0, batch.num_rows, 256):
-                texts = storage.texts_of(batch.column(2).slice(at, 256))
-                for i, h, want, text in zip(ids[at : at + 256], hashes[at : at + 256], wanted[at : at + 256], texts, strict=True):
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                ids, hashes, wanted = (part.column(i).to_pylist() for i in (0, 1, 3))
+                for i, h, want, text in zip(ids, hashes, wanted, storage.texts_of(part.column(2)), strict=True):
                     for w in want:
                         begin = w["position"] - w["back"]
                         piece = text[begin : begin + w["span"] + length]
@@ -313,7 +314,7 @@ def fetch_contexts(texts: DataFrame, length: int, n: int) -> DataFrame:
                             m = len(own)
                             windows.append([own, np.full(m, w["gram"] & (1 << 64) - 1, np.uint64), np.full(m, i, np.int64), np.full(m, h, np.int32), begin + np.arange(m), np.zeros(m, np.uint8), np.zeros(m, np.uint8)])
                             count += m
-                    if size > 1 << 24 or count > FLUSH:
+                    if size > 1 << 22 or count > FLUSH:
                         yield from flush()
                         held, windows, size, count = [], [], 0, 0
         yield from flush()
@@ -321,7 +322,7 @@ def fetch_contexts(texts: DataFrame, length: int, n: int) -> DataFrame:
     return texts.mapInArrow(run, EXCHANGE)
 
 
-def compare_contexts(records: DataFrame, length: int, most_bytes: int = 1 << 23) -> DataFrame:
+def compare_contexts(records: DataFrame, length: int, most_bytes: int = 1 << 21) -> DataFrame:
     """Marks of all windows whose bytes start earlier in another context of their anchor."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts: list[list[np.ndarray]] = []
@@ -331,7 +332,7 @@ def compare_contexts(records: DataFrame, length: int, most_bytes: int = 1 << 23)
                 if kind == 0:
                     yield marks(unpack(blob, size, PLACE)[:5], 0)
                 elif kind == 1:
-                    contexts.append(unpack(blob, size, PLACE))
+                    contexts.append(unpack(blob, size, ("<u8", *PLACE)))
                 else:
                     windows.append(unpack(blob, size, NAMED)[:7])
         if windows:
@@ -339,12 +340,12 @@ def compare_contexts(records: DataFrame, length: int, most_bytes: int = 1 << 23)
             yield marks([c[~first] for c in columns[2:]], 0)
         if not contexts:
             return
-        id_, th, position, back, span, data = (np.concatenate(c) for c in zip(*contexts, strict=True))
+        anchor, id_, th, position, back, span, data = (np.concatenate(c) for c in zip(*contexts, strict=True))
+        contexts.clear()
         span = span.astype(np.int64)
         sizes = span + length
         begins = np.cumsum(sizes) - sizes
         # Contexts of one anchor hash stay together; a task's share is sorted in lots of bounded size.
-        anchor = Rolling(data, 0).hash(begins + back, GRAM) if len(data) < 1 << 26 else np.concatenate([Rolling(data[b : b + s], 0).hash(np.array([k]), GRAM) for b, s, k in zip(begins.tolist(), sizes.tolist(), back.tolist(), strict=True)])
         order = np.argsort(anchor, kind="stable")
         closes = np.flatnonzero(np.concatenate((anchor[order][1:] != anchor[order][:-1], [True]))) + 1
         filled = np.cumsum(sizes[order])[closes - 1]
@@ -389,7 +390,7 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     marked = storage.settle(settle_contexts(records, many), "substring-marks")
     wanted = marked.where("kind > 0").groupBy("id", "th").agg(F.collect_list(F.struct("position", "back", "span", "kind", "gram")).alias("wanted"))
     who = _who(df, id_col, text_col)
-    texts = df.select(who[0].alias("id"), who[1].alias("th"), F.col(text_col).cast("string").alias("text")).join(wanted, ["id", "th"])
+    texts = df.select(who[0].alias("id"), who[1].alias("th"), F.col(text_col).cast("string").alias("text")).join(wanted.hint("merge"), ["id", "th"])
     contexts = fetch_contexts(texts.select("id", "th", "text", "wanted"), length, n).repartitionById(n, F.col("part"))
     compared = storage.settle(compare_contexts(contexts, length), "substring-compared")
     return covered(marked.where("kind = 0").unionByName(compared), length)
@@ -412,7 +413,7 @@ def cut(text: bytes, runs: list[dict] | None) -> tuple[bytes, int, int]:
 def _joined(df: DataFrame, id_col: str, text_col: str, length: int, **limits) -> DataFrame:
     gone = removals(df, id_col, text_col, length, **limits).withColumnsRenamed({"id": "__id", "th": "__th", "runs": "__runs"})
     who = _who(df, id_col, text_col)
-    return df.withColumns({"__id": who[0], "__th": who[1]}).join(gone, ["__id", "__th"], "left").drop("__id", "__th")
+    return df.withColumns({"__id": who[0], "__th": who[1]}).join(gone.hint("merge"), ["__id", "__th"], "left").drop("__id", "__th")
 
 
 def substring_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, **limits) -> DataFrame:
