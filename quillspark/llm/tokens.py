@@ -9,6 +9,7 @@ is emptied); everything else is dictionary look-ups.
 from __future__ import annotations
 
 import os
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -27,7 +28,7 @@ def tokenizer_path(name: str = WORD_FILE) -> str:
 class WordIds(dict):
     """chunk -> its ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, most: int = 400_000, longest: int = 64):
+    def __init__(self, path: str, most: int = 1_000_000, longest: int = 64):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
@@ -40,7 +41,7 @@ class WordIds(dict):
 
     def _encode(self, chunks: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
-        return [b"".join([i.to_bytes(4, "little") for i in e.ids]) for e in found]
+        return [array("I", e.ids).tobytes() for e in found]
 
     def _learn(self) -> dict[bytes, bytes]:
         """Ids of all pending chunks; those too long to keep are only returned."""
@@ -66,7 +67,9 @@ class WordIds(dict):
         for at in range(0, len(texts), 256):
             if len(self) > self.most:
                 self.clear()
-            part, done, again, unknown = texts[at : at + 256], [], [], set()
+            # The library lowers case too, but it looks for special tokens before that.
+            part = [t if b"<|" in t else t.lower() for t in texts[at : at + 256]]
+            done, again, unknown = [], [], set()
             for i, text in enumerate(part):
                 done.append(b"".join(map(self.__getitem__, text.split())))
                 if self.pending:
@@ -77,7 +80,10 @@ class WordIds(dict):
                 self.pending = unknown
                 new = self._learn()
                 for i in again:
-                    done[i] = b"".join([self.get(c) or new.get(c, b"") for c in part[i].split()])
+                    done[i] = b"".join(map(self.__getitem__, part[i].split()))
+                    if self.pending:  # chunks too long to keep
+                        done[i] = b"".join([self.get(c) or new.get(c, b"") for c in part[i].split()])
+                        self.pending = set()
             out += done
         return out
 
