@@ -264,4 +264,4 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_
     keys = storage.settle(chosen.select(F.xxhash64("f.b", "f.c").alias("__key")), "simhash-kept")
     text = F.col(text_col).cast("string")
     keyed = df.withColumn("__key", F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text)))
-    return keyed.join(keys, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    return keyed.join(keys.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
