@@ -2,9 +2,9 @@
 
 Lines are compared by the XXH64 of their trimmed text; blank lines have no hash. A line
 that several documents hold pairs each later holder with its first holder (the smallest
-id), so the pairs grow with the lines, not with the square of a group of copies, and no
-line is too frequent to pair: its rarity only orders the work. Each pair is aligned with
-patience diff: lines that occur once on both sides, their longest increasing chain, the
+id), so the pairs grow with the lines, not with the square of a group of copies. No line is
+too frequent to pair: a bound on how rare it must be would lose large groups of copies, so
+there is none. Each pair is aligned with patience diff: lines that occur once on both sides, their longest increasing chain, the
 same again inside every gap, and equal neighbours of what is aligned. A run of lines
 aligned one after the other is a block; blocks of ``min_chars`` characters or more go from
 the later document. What goes is the union over a document's partners, judged on the
