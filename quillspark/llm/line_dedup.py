@@ -7,7 +7,8 @@ too frequent to pair: a bound on how rare it must be would lose large groups of
 there is none. Each pair is aligned with patience diff: lines that occur once on both sides, their longest increasing chain, the
 same again inside every gap, and equal neighbours of what is aligned. A run of lines
 aligned one after the other is a block; blocks of ``min_chars`` characters or more go from
-the later document. What goes is the union over a document's partners, judged on the
+the later document. Runs of that length that the alignment leaves, as they are repeated or
+moved, are looked up among all runs of the other side, so every occurrence goes. What goes is the union over a document's partners, judged on the
 input, so the pairs need no order among themselves.
 
 Hot lines: the table of first holders is written out, so that joins with it see plain
@@ -22,6 +23,7 @@ columns pass through (names of ours that clash are replaced).
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
@@ -30,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from . import storage
 
@@ -78,20 +81,84 @@ def aligned(own: list, other: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def runs(lines: list[int], sizes: list[int], min_chars: int) -> Iterator[tuple[int, int, int]]:
+    """``(start, stop, key)`` of the runs that just reach ``min_chars`` characters.
+
+    From each line the shortest run that starts with it, and the shortest that ends with
+    it: two a line, and each longer run is the union of those inside it. Blank lines at a
+    run's edge enter the key by their number.
+    """
+    n, names, keys = len(lines), array("q", lines).tobytes(), {}
+    ends, starts = [0] * n, [n] * n
+    total = stop = 0
+    for i in range(n):
+        while stop < n and total < max(min_chars, 1):
+            total, stop = total + sizes[stop], stop + 1
+        if total < max(min_chars, 1):
+            break
+        ends[i], total = stop, total - sizes[i]
+    total, start = 0, n
+    for i in range(n - 1, -1, -1):
+        while start and total < max(min_chars, 1):
+            start -= 1
+            total += sizes[start]
+        if total < max(min_chars, 1):
+            break
+        starts[i], total = start, total - sizes[i]
+
+    def key(a: int, b: int, lead: int, tail: int) -> int:
+        if (a, b) not in keys:
+            keys[a, b] = xxh64_intdigest(names[8 * a : 8 * b])
+        return xxh64_intdigest(b"%d %d" % (lead, tail), keys[a, b]) if lead or tail else keys[a, b]
+
+    first = n
+    for i in range(n - 1, -1, -1):
+        first = i if sizes[i] else first
+        if ends[i]:
+            yield i, ends[i], key(first, ends[i], first - i, 0)
+    last = -1
+    for i in range(n):
+        last = i if sizes[i] else last
+        if starts[i] < n and ends[starts[i]] != i + 1:
+            yield starts[i], i + 1, key(starts[i], last + 1, 0, i - last)
+
+
 def common_lines(own: list, sizes: list[int], other: list, min_chars: int) -> list[int]:
-    """Positions of ``own`` in aligned blocks of ``min_chars`` characters or more."""
-    out: list[int] = []
+    """Positions of ``own`` in runs of ``min_chars`` characters or more that ``other`` holds too.
+
+    The alignment finds them but for those that are repeated or stand in another order;
+    the runs that it leaves are looked up among all of ``other``.
+    """
+    gone: set[int] = set()
     block: list[int] = []
     last = None
     for pair in [*aligned(own, other), None]:
         if block and (pair is None or pair != (last[0] + 1, last[1] + 1)):
             if sum(sizes[i] for i in block) >= min_chars:
-                out += block
+                gone.update(block)
             block = []
         if pair:
             block.append(pair[0])
             last = pair
-    return out
+    known = set(other)
+    if all(i in gone or h not in known for i, h in enumerate(own)):
+        return sorted(gone)
+    size = {h: n for h, n in zip(own, sizes, strict=True) if h in known}
+    name = {h: n for n, h in enumerate(size)}
+
+    def shared(lines: list) -> Iterator[tuple[int, int, int]]:
+        """Runs made of lines that both sides hold."""
+        at = 0
+        for stop in [*(i for i, h in enumerate(lines) if h not in name), len(lines)]:
+            for a, b, key in runs([name[h] for h in lines[at:stop]], [size[h] for h in lines[at:stop]], min_chars):
+                yield at + a, at + b, key
+            at = stop + 1
+
+    there = {key for _, _, key in shared(other)}
+    for a, b, key in shared(own):
+        if key in there:
+            gone.update(range(a, b))
+    return sorted(gone)
 
 
 def _key(id_: Column, text: Column) -> Column:

@@ -52,3 +52,27 @@ def test_against_brute_force(spark):
     twice = df.limit(5).union(df.limit(5))
     assert line_dedup.dedup_lines(twice).where("n_removed > 0").count() == line_dedup.dedup_lines(df.limit(5)).where("n_removed > 0").count() * 2
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
+
+
+def shared_runs(own, others, min_chars):
+    """Positions of ``own`` in any run of ``min_chars`` characters that one of ``others`` holds, by trying every run."""
+    gone = set()
+    for other in others:
+        for a in range(len(own)):
+            for b in range(a + 1, len(own) + 1):
+                if sum(map(len, own[a:b])) >= min_chars and any(other[c : c + b - a] == own[a:b] for c in range(len(other) - (b - a) + 1)):
+                    gone |= set(range(a, b))
+    return sorted(gone)
+
+
+def test_repeated_and_moved_passages_go():
+    common = lambda own, other, least: line_dedup.common_lines([x or None for x in own], list(map(len, own)), [x or None for x in other], least)
+    assert common(["a", "P" * 9, "b"], ["c", "P" * 9, "x", "P" * 9, "d"], 9) == [1]
+    assert common(["c", "P" * 9, "x", "P" * 9, "d"], ["a", "P" * 9, "b"], 9) == [1, 3]
+    assert common(["Q" * 9, "own", "P" * 9], ["P" * 9, "other", "Q" * 9], 9) == [0, 2]
+    r = np.random.default_rng(7)
+    pool = ["", "a", "bb", "ccc", "dddd", "eeeee", "f" * 12]
+    for n in range(1500):
+        own, other = ([pool[int(i)] for i in r.integers(0, 3 + n % 5, int(r.integers(0, 14)))] for _ in range(2))
+        assert common(own, other, 10) == shared_runs(own, [other], 10), (own, other)
+    assert common([*[""] * 50_000, "P" * 9, *[""] * 50_000], ["P" * 9, ""], 9) == [50_000, 50_001]
