@@ -1,17 +1,20 @@
 """Line dedup by pairwise alignment.
 
-Lines are compared by the XXH64 of their trimmed text; blank lines have no hash. A line
-that several documents hold pairs each later holder with its first holder (the smallest
-id), so the pairs grow with the lines, not with the square of a group of copies. No line is
-too frequent to pair: a bound on how rare it must be would lose large groups of copies, so
-there is none. Each pair is aligned with patience diff: lines that occur once on both sides, their longest increasing chain, the
+Lines are compared by the XXH64 of their trimmed text; blank lines have no hash. Documents
+are paired through runs of adjacent lines: from each line the shortest run of ``min_chars``
+characters that starts with it, and the shortest that ends with it. A run that several
+documents hold pairs each later holder with its first holder (the smallest id), so the
+pairs grow with the lines, not with the square of a group of copies. Any longer run is the
+union of those inside it, so each block that any earlier document holds is found, whichever
+documents hold its parts first. No run is too frequent to pair: a bound on how rare it must
+be would lose large groups of copies, so there is none. Each pair is aligned with patience diff: lines that occur once on both sides, their longest increasing chain, the
 same again inside every gap, and equal neighbours of what is aligned. A run of lines
 aligned one after the other is a block; blocks of ``min_chars`` characters or more go from
 the later document. Runs of that length that the alignment leaves, as they are repeated or
 moved, are looked up among all runs of the other side, so every occurrence goes. What goes is the union over a document's partners, judged on the
 input, so the pairs need no order among themselves.
 
-Hot lines: the table of first holders is written out, so that joins with it see plain
+Hot runs: the table of first holders is written out, so that joins with it see plain
 exchanges that adaptive execution can split; only hashes and line lengths are moved until
 the removals meet the texts.
 
@@ -171,11 +174,18 @@ def removals(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_
     lines = F.transform(F.split(text, "\n", -1), F.trim)
     hashes = F.transform(lines, lambda x: F.when(F.length(x) > 0, F.xxhash64(x)))
     rows = df.where(F.col(text_col).isNotNull()).select(_key(id_, text).alias("key"), id_.alias("id"), F.xxhash64(text).alias("th"), hashes.alias("hashes"), F.transform(lines, F.length).alias("sizes"))
-    rows = storage.settle(rows.dropDuplicates(["key"]), "lines")
-    held = rows.select("key", "id", "th", F.explode(F.array_distinct("hashes")).alias("hash")).where("hash IS NOT NULL")
-    firsts = held.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "key")).alias("first")).where("n > 1").select("hash", "n", F.col("first.key").alias("first"))
+
+    def add_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.array(list({key for _, _, key in runs([h or 0 for h in own], sizes, min_chars)}), "<u8").view("<i8") for own, sizes in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], [*batch.schema.names, "runs"])
+
+    rows = rows.dropDuplicates(["key"]).mapInArrow(add_runs, "key long, id long, th long, hashes array<long>, sizes array<int>, runs array<long>")
+    rows = storage.settle(rows, "lines")
+    held = rows.select("key", "id", "th", F.explode("runs").alias("run"))
+    firsts = held.groupBy("run").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "key")).alias("first")).where("n > 1").select("run", "n", F.col("first.key").alias("first"))
     firsts = storage.settle(firsts, "line-firsts")
-    pairs = held.join(firsts, "hash").where("key <> first").select("key", "first").distinct()
+    pairs = held.join(firsts, "run").where("key <> first").select("key", "first").distinct()
     pairs = storage.settle(pairs, "line-pairs")
     met = pairs.join(rows.select(F.col("key").alias("first"), F.col("hashes").alias("other")), "first").join(rows.select("key", "hashes", "sizes"), "key").select("key", "hashes", "sizes", "other")
 

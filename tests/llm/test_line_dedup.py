@@ -76,3 +76,25 @@ def test_repeated_and_moved_passages_go():
         own, other = ([pool[int(i)] for i in r.integers(0, 3 + n % 5, int(r.integers(0, 14)))] for _ in range(2))
         assert common(own, other, 10) == shared_runs(own, [other], 10), (own, other)
     assert common([*[""] * 50_000, "P" * 9, *[""] * 50_000], ["P" * 9, ""], 9) == [50_000, 50_001]
+
+
+def whole(rows, min_chars=50):
+    """Each document against all earlier ones, run by run."""
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    lines = [[x.strip(" ") for x in t.split("\n")] for _, t in order]
+    gone = [set(shared_runs(own, lines[:n], min_chars)) for n, own in enumerate(lines)]
+    return [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in g)) for (i, t), g in zip(order, gone, strict=True)]
+
+
+def test_blocks_of_any_earlier_document_go(spark):
+    short, p, q = [f"short line {c} of thirty letters" for c in "abc"], "passage P " * 6, "passage Q " * 6
+    texts = ["\n".join([short[0], "x1"]), "\n".join([short[1], "x2"]), "\n".join([short[2], "x3"]), "\n".join(["own 3", *short]), "\n".join(["own 4", *short, "more"])]
+    texts += [f"{p}\nown 5\n{q}", f"{q}\nown 6", f"{q}\nown 7\n{p}", f"{p}\n{p}\nown 8\n{q}\n\n{q}"]
+    r = np.random.default_rng(11)
+    pool = ["", *(f"{c} " + "word " * int(r.integers(1, 11)) for c in "abcdefghijklmno")]
+    texts += ["\n".join(pool[int(i)] if r.random() < 0.7 else f"own {n} {k}" for k, i in enumerate(r.integers(0, len(pool), int(r.integers(1, 14))))) for n in range(150)]
+    rows = [*enumerate(texts), (None, texts[20])]
+    got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = dict(whole(rows))
+    assert want[4] == "own 4\nmore" and want[7] == "own 7" and want[8] == "own 8\n"
+    assert {x.doc_id: x.text for x in got.collect()} == want
