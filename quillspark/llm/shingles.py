@@ -1,0 +1,126 @@
+"""Near-duplicates by the Jaccard similarity of word shingles, checked on whole sets.
+
+Shingles: words as in ``simhash``, ``n_words`` in a row; a text's set holds the XXH64 of
+each (a shorter text is one shingle). Texts with a similarity of 4/5 or more are linked.
+
+Candidates: a set has ``BANDS`` keys, each made of the least values of ``ROWS`` hash
+functions over it; two sets of similarity s share a key with the probability
+1 - (1 - s ** ROWS) ** BANDS, at 0.8 all but 5 in a million. Sets joined by keys, however
+indirectly, are a candidate group, and all pairs of a group are compared shingle by
+shingle, so nothing below the similarity is linked. Equal sets count once; a set pairs with
+a key's first holder only, and a group beyond ``piece`` sets is compared as pairs of pieces.
+
+Defined cases: null texts and texts without words have the empty set, which equals itself;
+of a group the row with the smallest id stays (rows without id come last, then the least
+text hash); a repeated row counts once; an empty table gives no rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from itertools import groupby
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
+
+from . import storage
+from .components import components
+
+BANDS, ROWS = 40, 6
+_random = np.random.default_rng(42)
+FACTORS = _random.integers(0, 1 << 63, BANDS * ROWS).astype("<u8") * np.uint64(2) + np.uint64(1)
+MASKS = _random.integers(0, 1 << 63, BANDS * ROWS).astype("<u8")
+
+
+def shingles(text: bytes, n_words: int = 5) -> np.ndarray:
+    """The set's hashes in rising order."""
+    words = text.lower().split()
+    if not words:
+        return np.empty(0, "<u8")
+    grams = map(b" ".join, zip(*(words[i:] for i in range(n_words)), strict=False)) if len(words) >= n_words else [b" ".join(words)]
+    return np.unique(np.array([xxh64_intdigest(g) for g in grams], "<u8"))
+
+
+def band_keys(held: np.ndarray) -> np.ndarray:
+    least = np.full(BANDS * ROWS, ~np.uint64(0))
+    for at in range(0, len(held), 1024):
+        np.minimum(least, ((held[at : at + 1024, None] ^ MASKS) * FACTORS).min(axis=0), out=least)
+    whole = least.tobytes()
+    return np.array([xxh64_intdigest(whole[8 * ROWS * b : 8 * ROWS * (b + 1)], b) for b in range(BANDS)], "<u8").view("<i8")
+
+
+def links_among(sets: list[np.ndarray], sides: list[int]) -> list[tuple[int, int]]:
+    """Links that join the members of a group; sides as in ``simhash.bucket_links``."""
+    sizes, n = np.array([len(x) for x in sets]), len(sets)
+    _, places = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    side, names, out = np.array(sides), np.arange(n), []
+    mark = np.zeros(len(places), bool)
+    for i in range(n):
+        open_ = (names != names[i]) & ((side != side[i]) | (side == 0)) & (5 * np.minimum(sizes, sizes[i]) >= 4 * np.maximum(sizes, sizes[i]))
+        open_[: i + 1] = False
+        if not open_.any():
+            continue
+        own = places[starts[i] : starts[i] + sizes[i]]
+        mark[own] = True
+        for j in np.flatnonzero(open_).tolist():
+            both = int(np.count_nonzero(mark[places[starts[j] : starts[j] + sizes[j]]]))
+            if names[i] != names[j] and 5 * both >= 4 * (int(sizes[i] + sizes[j]) - both):
+                names[names == names[j]] = names[i]
+                out.append((i, j))
+        mark[own] = False
+    return out
+
+
+def links(texts: DataFrame, groups: DataFrame, n_words: int, piece: int = 256) -> DataFrame:
+    """``(a, b)``: sets of ``texts (node, text)`` that are linked within ``groups (node, label)``."""
+    sizes = storage.settle(groups.groupBy("label").agg(F.count("*").alias("n")), "shingle-sizes")
+    members = groups.join(sizes, "label").withColumn("pieces", F.ceil(F.col("n") / piece).cast("int"))
+    members = members.withColumn("own", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    side = F.when(low == high, 0).when(F.col("own") == low, 1).otherwise(2)
+    keyed = members.select(F.xxhash64("label", low, high).alias("key"), side.cast("int").alias("side"), "node").join(texts.hint("merge"), "node").select("key", "side", "node", "text")
+    dealt = keyed.repartition(storage.shards(keyed.sparkSession), "key").sortWithinPartitions("key")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                for at in range(0, batch.num_rows, 256):
+                    part = batch.slice(at, 256)
+                    yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).to_pylist(), map(lambda t: shingles(t, n_words), storage.texts_of(part.column(3))), strict=True)
+
+        for _, group in groupby(rows(), lambda r: r[0]):
+            _, sides, nodes, sets = zip(*group, strict=True)
+            found = links_among(list(sets), list(sides))
+            yield pa.RecordBatch.from_arrays([pa.array([nodes[i] for i, _ in found], pa.int64()), pa.array([nodes[j] for _, j in found], pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5) -> DataFrame:
+    """One row of each group, all columns."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                sets = [shingles(t, n_words) for t in storage.texts_of(batch.column(2).slice(at, 1024))]
+                nodes = np.array([xxh64_intdigest(x.tobytes()) for x in sets], "<u8").view("<i8")
+                keys = [band_keys(x) if len(x) else [] for x in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1024), batch.column(1).slice(at, 1024), pa.array(nodes), pa.array(keys, pa.list_(pa.int64()))], ["id", "hash", "node", "keys"])
+
+    text = F.col(text_col).cast("string")
+    id_, key = F.col(id_col).cast("long"), F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text))
+    prints = storage.settle(df.select(id_.alias("id"), F.xxhash64(text).alias("hash"), text.alias("text")).mapInArrow(run, "id long, hash long, node long, keys array<long>"), "shingles")
+    order = F.struct(F.col("id").isNull().alias("a"), F.col("id").alias("b"), F.col("hash").alias("c"))
+    distinct = storage.settle(prints.groupBy("node").agg(F.min(order).alias("f"), F.first("keys").alias("keys")), "shingle-sets")
+    dealt = distinct.select("node", F.explode("keys").alias("band"))
+    shared = storage.settle(dealt.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("first")).where("n > 1").select("band", "first"), "shingle-bands")
+    groups = components(dealt.join(shared.hint("merge"), "band").where("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")).distinct())
+    chosen = storage.settle(distinct.join(groups.hint("merge"), "node").select("node", F.xxhash64("f.b", "f.c").alias("__key")), "shingle-chosen")
+    texts = df.select(key.alias("__key"), text.alias("text")).join(chosen.hint("merge"), "__key").dropDuplicates(["node"]).select("node", "text")
+    labels = components(links(storage.settle(texts, "shingle-texts"), groups, n_words)).withColumnRenamed("node", "__node")
+    least = distinct.join(labels.hint("merge"), F.col("node") == F.col("__node"), "left").groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("f").alias("f"))
+    keys = storage.settle(least.select(F.xxhash64("f.b", "f.c").alias("__key")), "shingle-kept")
+    return df.withColumn("__key", key).join(keys.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
