@@ -68,7 +68,8 @@ class WordIds(dict):
             if len(self) > self.most:
                 self.clear()
             # The library lowers case too, but it looks for special tokens before that.
-            part = [t if b"<|" in t else t.lower() for t in texts[at : at + 256]]
+            # Chunks beyond ASCII stay as they are, since it composes letters before it lowers them.
+            part = [t if b"<|" in t else t.lower() if t.isascii() else b" ".join([c.lower() if c.isascii() else c for c in t.split()]) for t in texts[at : at + 256]]
             done, again, unknown = [], [], set()
             for i, text in enumerate(part):
                 done.append(b"".join(map(self.__getitem__, text.split())))

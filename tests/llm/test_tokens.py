@@ -78,3 +78,8 @@ def test_assignment_is_balanced():
         full[s] = full.get(s, 0) + n
     assert sum(full.values()) == sum(lengths) and all(v & (v - 1) == 0 for v in full.values())
     assert len(pieces) < 1.6 * len(lengths)
+
+
+def test_decomposed_capitals_are_composed_first():
+    for text in ("J\u030cohn", "T\u0308om met J\u030cOHN, Tom and JOHN", "plain J\u030cohn <|x"):
+        assert WordIds(tokenizer_path()).encode([text.encode()])[0] == b"".join(x.to_bytes(4, "little") for x in truth(text))
