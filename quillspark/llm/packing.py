@@ -25,7 +25,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import storage
 from .tokens import tokenizer_path, word_ids
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -96,14 +95,12 @@ def pack_sequences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCHEMA.split(", ")] + ["ids"] * with_ids)
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for at in range(0, len(ids), 256):
-                for doc_id, found in zip(ids[at : at + 256], encoder.encode(storage.texts_of(batch.column(1).slice(at, 256))), strict=True):
-                    held.append((doc_id, found + end))
-                    tokens += len(found) // 4 + 1
-                    if tokens >= block_tokens:
-                        yield pieces()
-                        held, tokens = [], 0
+            for doc_id, found in zip(batch.column(0).to_pylist(), encoder.documents(batch.column(1)), strict=True):
+                held.append((doc_id, found + end))
+                tokens += len(found) // 4 + 1
+                if tokens >= block_tokens:
+                    yield pieces()
+                    held, tokens = [], 0
         if held:
             yield pieces()
 

@@ -149,11 +149,9 @@ def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_c
         where = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.tok"
         end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for at in range(0, len(ids), 256):
-                for doc_id, found in zip(ids[at : at + 256], encoder.encode(storage.texts_of(batch.column(1).slice(at, 256))), strict=True):
-                    out = out or TokenFileWriter(storage.create(where), max(encoder.tokenizer.get_vocab_size(), (end_id or 0) + 1), block_ids)
-                    out.add(doc_id, np.frombuffer(found + end, "<u4"))
+            for doc_id, found in zip(batch.column(0).to_pylist(), encoder.documents(batch.column(1)), strict=True):
+                out = out or TokenFileWriter(storage.create(where), max(encoder.tokenizer.get_vocab_size(), (end_id or 0) + 1), block_ids)
+                out.add(doc_id, np.frombuffer(found + end, "<u4"))
         if out:
             out.close()
             yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "path": [where], "n_ids": [out.n_ids], "n_docs": [len(out.ids)]})

@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -24,10 +26,26 @@ def test_cached_words_equal_library():
     for most in (3, 400_000):
         encoder = WordIds(tokenizer_path(), most=most, longest=20)
         for _ in range(2):
-            got = encoder.encode([(t or "").encode() for t in TEXTS])
+            got = encoder.documents(pa.array(TEXTS, pa.string()))
             assert [np.frombuffer(x, "<u4").tolist() for x in got] == [truth(t) for t in TEXTS]
 
 
+def test_any_text_equals_library():
+    r = random.Random(1)
+    signs = [*"aabcXYZé ÉßÿÞ÷×ªµº'\u0301\u030c\u00a0\u2003\t\n\x0b\x1c\x00\x7f01239.,!?-<|>|&#  日Σςİﬁ½²٣", "<|endoftext|>", "<|startoftext|>", "<|", "'S", "It's", "é.", "a1b2", "x'll"]
+    texts = pa.array([*("".join(r.choice(signs) for _ in range(r.randint(0, 30))) for _ in range(5000)), None, "", "  ", "a"])
+    want = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(tokenizer_path()).encode_batch([x or "" for x in texts.to_pylist()], add_special_tokens=False)]
+    encoder = WordIds(tokenizer_path(), most=2000)
+    assert list(encoder.documents(texts, 1 << 12)) == list(encoder.documents(texts.cast(pa.large_string()))) == want
+    assert list(encoder.documents(texts.slice(7, 90))) == want[7:97]
+    assert list(encoder.documents(texts.slice(0, 0))) == []
+
+
+def test_other_kinds_of_file_are_refused():
+    with pytest.raises(ValueError):
+        WordIds(tokenizer_path("byte_bpe_50k.json"))
+
+
 @pytest.mark.parametrize("bits", [1, 3, 8, 13, 16, 17, 31])
 def test_pack_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1000).astype(np.uint32)
@@ -82,4 +100,4 @@ def test_assignment_is_balanced():
 
 def test_decomposed_capitals_are_composed_first():
     for text in ("J\u030cohn", "T\u0308om met J\u030cOHN, Tom and JOHN", "plain J\u030cohn <|x"):
-        assert WordIds(tokenizer_path()).encode([text.encode()])[0] == b"".join(x.to_bytes(4, "little") for x in truth(text))
+        assert next(WordIds(tokenizer_path()).documents(pa.array([text]))) == b"".join(x.to_bytes(4, "little") for x in truth(text))
