@@ -211,4 +211,4 @@ def encode_decode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     columns += [pa.array([x.astype(np.int64) for x in got[3]], pa.list_(pa.int64())), pa.array(got[4], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in schema.split(", ")])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(storage.tidy(run), schema)

@@ -125,7 +125,7 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang", dimensi
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.list_(pa.int64()))], ["lang", "part"])
 
     labelled = df.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang IS NOT NULL AND text IS NOT NULL")
-    parts = labelled.mapInArrow(count, "lang string, part array<long>")
+    parts = labelled.mapInArrow(storage.tidy(count), "lang string, part array<long>")
     total = parts.select("lang", F.posexplode("part").alias("i", "v")).groupBy("lang", "i").agg(F.sum("v").alias("v"))
     rows = total.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "v"))).alias("v")).limit(MOST_LANGUAGES + 1).collect()
     if len(rows) > MOST_LANGUAGES:
@@ -142,7 +142,7 @@ def identify(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1024), pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     chosen = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return chosen.mapInArrow(storage.tidy(run), "doc_id long, lang_pred string, score double")
 
 
 def keep_known(df: DataFrame, profiles: Profiles, text_col: str = "text", least: float = 0.1) -> DataFrame:
@@ -151,10 +151,12 @@ def keep_known(df: DataFrame, profiles: Profiles, text_col: str = "text", least:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [profiles.predict(t) for t in storage.texts_of(batch.column(at))]
-            yield batch.filter(pa.array([name != UNKNOWN and score >= least for name, score in found], pa.bool_()))
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                found = [profiles.predict(t) for t in storage.texts_of(part.column(at))]
+                yield part.filter(pa.array([name != UNKNOWN and score >= least for name, score in found], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(storage.tidy(run), df.schema)
 
 
 def held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2) -> Column:

@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import storage
 from .tokens import tokenizer_path, word_ids
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -105,4 +106,4 @@ def pack_sequences(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pieces()
 
     chosen = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(pack, SCHEMA + ", ids array<int>" * with_ids)
+    return chosen.mapInArrow(storage.tidy(pack), SCHEMA + ", ids array<int>" * with_ids)

@@ -156,7 +156,7 @@ def write_token_files(df: DataFrame, folder: str, id_col: str = "doc_id", text_c
             out.close()
             yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "path": [where], "n_ids": [out.n_ids], "n_docs": [len(out.ids)]})
 
-    return ordered.mapInArrow(write, "part long, path string, n_ids long, n_docs long")
+    return ordered.mapInArrow(storage.tidy(write), "part long, path string, n_ids long, n_docs long")
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
@@ -181,7 +181,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                         got[k].append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in got.values()], list(got))
 
-    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.mapInArrow(storage.tidy(read), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_file_digest(df: DataFrame, **options) -> DataFrame:

@@ -157,7 +157,7 @@ def _blocks(df: DataFrame, scale: float, rows: int, make) -> DataFrame:
         for d in list(held):
             yield from pour(d)
 
-    return df.mapInArrow(build, "block binary")
+    return df.mapInArrow(storage.tidy(build), "block binary")
 
 
 def _index(ids: np.ndarray, values: np.ndarray) -> SlicedBlock:
@@ -184,6 +184,6 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id
                 found = [(i, *block.best(i, v, k)) for i, v in zip(ids.tolist(), vectors, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in ([np.full(len(r), i) for i, r, _ in found], [r for _, r, _ in found], [s for *_, s in found])], ["query_id", "vec_id", "score"])
 
-    near = met.mapInArrow(meet, "query_id long, vec_id long, score long")
+    near = met.mapInArrow(storage.tidy(meet), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -619,4 +619,4 @@ def media_columns(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 columns = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(target)[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), *columns], target.names)
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(storage.tidy(run), schema)
