@@ -13,16 +13,20 @@ U = np.uint64
 GROUP = 8  # words for one directory entry
 
 
+ONES, HIGHS = U(0x0101010101010101), U(0x8080808080808080)
+#: Position of the r-th set bit of a byte.
+IN_BYTE = np.array([[([i for i in range(8) if x >> i & 1] + [8] * 8)[r] for r in range(8)] for x in range(256)], np.uint8).ravel()
+
+
 def select_in_word(word: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """Position of the r-th (from 0) set bit."""
-    at = np.zeros(len(word), np.uint64)
+    """Position of the r-th (from 0) set bit: sums over bytes by one product, then a table for the byte."""
     r = r.astype(np.uint64)
-    for width in (32, 16, 8, 4, 2, 1):
-        n = np.bitwise_count(word >> at & U((1 << width) - 1)).astype(np.uint64)
-        go = r >= n
-        r = r - np.where(go, n, U(0))
-        at = at + np.where(go, U(width), U(0))
-    return at.astype(np.int64)
+    s = word - (word >> U(1) & U(0x5555555555555555))
+    s = (s & U(0x3333333333333333)) + (s >> U(2) & U(0x3333333333333333))
+    s = (s + (s >> U(4)) & U(0x0F0F0F0F0F0F0F0F)) * ONES  # byte i: ones in bytes 0 .. i
+    at = np.bitwise_count(((r * ONES | HIGHS) - s) & HIGHS).astype(np.uint64) << U(3)
+    rest = r - (s << U(8) >> at & U(255))
+    return (at + IN_BYTE[((word >> at & U(255)) << U(3) | rest).astype(np.int64)]).astype(np.int64)
 
 
 class EliasFano:
@@ -105,31 +109,51 @@ class EliasFano:
         ones = self._select(i, self.ones_before, U(0))
         return ((ones - i).astype(np.uint64) << U(self.low_bits) | self._lows(i)) + self.base
 
-    def find(self, values: np.ndarray) -> np.ndarray:
-        """Index of the first element not below each value (``n`` if none)."""
+    def _next_zero(self, at: np.ndarray) -> np.ndarray:
+        """Position of the first zero after each of ``at``."""
+        at = at + 1
+        word = at >> 6
+        left = ~self.words[word] >> (at & 63).astype(np.uint64)
+        out = at + np.bitwise_count(~left & left - U(1))
+        again = np.flatnonzero(left == 0)
+        while len(again):
+            word[again] += 1
+            left = ~self.words[word[again]]
+            out[again] = word[again] * 64 + np.bitwise_count(~left & left - U(1))
+            again = again[left == 0]
+        return out
+
+    def _search(self, values: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First index not below each value, where its share of equal high parts ends, and its low part."""
         v = np.where(values > self.base, values - self.base, U(0))
-        high = (v >> U(self.low_bits)).astype(np.int64)
-        zeros = int(self.zeros_before[-1])
-        inside = high < zeros - 1
-        h = np.where(inside, high, 0)
-        stop = self._select(h, self.zeros_before, ~U(0)) - h
-        start = np.where(h > 0, self._select(np.maximum(h - 1, 0), self.zeros_before, ~U(0)) - h + 1, 0)
-        start, stop = np.minimum(start, self.n), np.minimum(stop, self.n)
-        wanted = v & U((1 << self.low_bits) - 1)
-        while (open_ := start < stop).any():
-            at = np.flatnonzero(open_)
+        part = (v >> U(self.low_bits)).astype(np.int64)
+        inside = part < int(self.zeros_before[-1]) - 1
+        h = np.where(inside, part, 0)
+        zero = np.where(h > 0, self._select(np.maximum(h - 1, 0), self.zeros_before, ~U(0)), -1)
+        start, stop = zero - h + 1, self._next_zero(zero) - h
+        if low is not None:
+            start, stop = np.maximum(start, low), np.minimum(stop, high)
+        start, stop = np.minimum(np.where(inside, start, self.n), self.n), np.minimum(np.where(inside, stop, self.n), self.n)
+        end, wanted = stop, v & U((1 << self.low_bits) - 1)
+        stop = stop.copy()
+        at = np.flatnonzero(start < stop)
+        while len(at):
             middle = (start[at] + stop[at]) >> 1
             below = self._lows(middle) < wanted[at]
             start[at] = np.where(below, middle + 1, start[at])
             stop[at] = np.where(below, stop[at], middle)
-        return np.where(inside, start, self.n)
+            at = at[start[at] < stop[at]]
+        return start, end, wanted
+
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """Index of the first element not below each value (``n`` if none)."""
+        return self._search(values)[0]
 
-    def locate(self, values: np.ndarray) -> np.ndarray:
-        """Index of an element equal to each value, -1 where there is none."""
-        at = self.find(values)
-        there = at < self.n
+    def locate(self, values: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
+        """Index of an element equal to each value, within ``low`` to ``high`` where given; -1 where there is none."""
+        at, end, wanted = self._search(values, low, high)
         out = np.full(len(values), -1, np.int64)
-        i = np.flatnonzero(there)
-        same = self.get(at[i]) == values[i]
-        out[i[same]] = at[i[same]]
+        i = np.flatnonzero((at < end) & (values >= self.base))
+        same = i[self._lows(at[i]) == wanted[i]]
+        out[same] = at[same]
         return out

@@ -11,7 +11,9 @@ relative frequencies, and for every n-gram the quantised weight of the next lowe
     p(w | context) = (1 - g) * c(context, w) / c(context) + g * p(w | shorter context)
 
 with the Witten-Bell weight g = T / (c + T), T the context's distinct successors; words
-have c / (N + V), all unknown words together V / (N + V).
+have c / (N + V), and unknown words share V / (N + V): as many of them are taken to exist
+as known ones, V, so each has 1 / (N + V). The probabilities of all words, known and
+unknown, so sum to one after any context.
 
 Counts are reduced in each task and dealt in packed form; a context's successors are dealt
 over ``SPREAD`` parts, so a frequent word burdens no single task. Levels are files in the
@@ -38,6 +40,7 @@ from xxhash import xxh64_intdigest
 from . import storage
 from .elias_fano import EliasFano
 from .language import held_out
+from .words import lots, words
 
 U = np.uint64
 END = b" "  # no word has a blank, so this stands for the end token
@@ -155,19 +158,24 @@ class Level:
         return out
 
     def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Ranks of n-grams, -1 where there is none."""
+        """Ranks of n-grams, -1 where there is none; quickest if equal contexts stand together."""
         out = np.full(len(context), -1, np.int64)
         context, word = context.astype(np.uint64), word.astype(np.uint64)
         for p, i in self._by_part(gram_part(context, word, self.n_parts)):
             f = self.part(p)
-            at = f["contexts"].locate(context[i])
-            i, at = i[at >= 0], at[at >= 0]
+            asked = context[i]
+            fresh = np.concatenate(([True], asked[1:] != asked[:-1]))  # callers sort by context
+            at = f["contexts"].locate(asked[fresh])
+            known = np.flatnonzero(at >= 0)
+            low, high = np.zeros((2, len(at)), np.int64)
+            low[known], high[known] = f["pointers"].get(at[known]).astype(np.int64), f["pointers"].get(at[known] + 1).astype(np.int64)
+            which = np.cumsum(fresh) - 1
+            chosen = at[which] >= 0
+            i, which = i[chosen], which[chosen]
             if not len(i):
                 continue
-            low, high = f["pointers"].get(at).astype(np.int64), f["pointers"].get(at + 1).astype(np.int64)
-            wanted = at.astype(np.uint64) * U(self.vocabulary) + word[i]
-            found = f["successors"].locate(wanted)
-            inside = (found >= low) & (found < high)
+            found = f["successors"].locate(at[which].astype(np.uint64) * U(self.vocabulary) + word[i], low[which], high[which])
+            inside = found >= 0
             out[i[inside]] = found[inside] + self.starts[p]
         return out
 
@@ -178,45 +186,20 @@ class Level:
         return out
 
 
-class Words:
-    """Local numbers of the words that this worker has met; emptied when there are too many."""
-
-    def __init__(self, model: "Model | None", most: int = 600_000):
-        self.model, self.most = model, most
-        self.number: dict[bytes, int] = {}
-        self.hashes = np.empty(0, np.uint64)
-        self.rank = np.empty(0, np.int64)
-        self.count = np.empty(0, np.int64)
-
-    def tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Local numbers of all tokens, end tokens too, and the tokens of each text."""
-        if len(self.number) > self.most:
-            self.__init__(self.model, self.most)
-        number, flat, sizes, new, before = self.number, [], [], [], 0
-        for text in texts:
-            words = text.lower().split()
-            words.append(END)
-            sizes.append(len(words))
-            try:
-                flat += map(number.__getitem__, words)
-            except KeyError:
-                del flat[before:]
-                for w in words:
-                    if w not in number:
-                        number[w] = len(number)
-                        new.append(w)
-                flat += map(number.__getitem__, words)
-            before = len(flat)
-        if new:
-            hashes = np.array([xxh64_intdigest(w) for w in new], np.uint64)
-            self.hashes = np.concatenate((self.hashes, hashes))
-            if self.model:
-                rank = self.model.levels[0].find_words(hashes)
-                known = rank >= 0
-                count = np.zeros(len(rank), np.int64)
-                count[known] = self.model.levels[0].gather(rank[known], "counts")
-                self.rank, self.count = np.concatenate((self.rank, rank)), np.concatenate((self.count, count))
-        return np.array(flat, np.int64), np.array(sizes, np.int64)
+def tokens_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens of a string column as numbers, the tokens of each text, and the hash of each number."""
+    index, sizes, distinct = words(column)
+    end = len(distinct)
+    ids = np.full(len(index) + len(sizes), end, np.int64)
+    inside = np.ones(len(ids), bool)
+    inside[np.cumsum(sizes + 1) - 1] = False
+    ids[inside] = index
+    return ids, sizes + 1, np.array([*map(xxh64_intdigest, distinct), xxh64_intdigest(END)], np.uint64)
+
+
+def places(sizes: np.ndarray) -> np.ndarray:
+    """Place of each token in its text, from 0."""
+    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
 
 
 class Model:
@@ -224,33 +207,36 @@ class Model:
         self.tokens, self.levels = tokens, levels
         self.vocabulary = int(levels[0].starts[-1])
 
-    def ranks(self, ids: np.ndarray, sizes: np.ndarray, order: int) -> np.ndarray:
-        """Rank of the n-gram of ``order`` that ends at each token; -1 at a text's start or if unknown."""
-        place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    def extended(self, ids: np.ndarray, place: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
+        """Rank of the k-gram that ends at each token, from those of the (k-1)-grams; -1 at a text's start or if unknown."""
+        context = np.concatenate(([-1], rank[:-1]))
+        there = np.flatnonzero((place >= k - 1) & (context >= 0) & (ids >= 0))
+        bits = U(max(1, self.vocabulary).bit_length())
+        keys, back = np.unique(context[there].astype(np.uint64) << bits | ids[there].astype(np.uint64), return_inverse=True)
+        found = self.levels[k - 1].find(keys >> bits, keys & ((U(1) << bits) - U(1)))
+        out = np.full(len(ids), -1, np.int64)
+        out[there] = found[back]
+        return out
+
+    def ranks(self, ids: np.ndarray, place: np.ndarray, order: int) -> np.ndarray:
         rank = ids
         for k in range(2, order + 1):
-            context = np.concatenate(([-1], rank[:-1]))
-            there = np.flatnonzero((place >= k - 1) & (context >= 0) & (ids >= 0))
-            bits = U(max(1, self.vocabulary).bit_length())
-            keys, back = np.unique(context[there].astype(np.uint64) << bits | ids[there].astype(np.uint64), return_inverse=True)
-            found = self.levels[k - 1].find(keys >> bits, keys & ((U(1) << bits) - U(1)))
-            rank = np.full(len(ids), -1, np.int64)
-            rank[there] = found[back]
+            rank = self.extended(ids, place, rank, k)
         return rank
 
     def probabilities(self, ids: np.ndarray, counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
         total = self.tokens + self.vocabulary
         if not total:
             return np.ones(len(ids))
-        p = np.where(ids >= 0, counts, self.vocabulary) / total
-        place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        p = np.where(ids >= 0, counts, 1) / total
+        place = places(sizes)
         rank = ids
         for k in range(2, len(self.levels) + 1):
             context = np.concatenate(([-1], rank[:-1]))
             there = np.flatnonzero((place >= k - 1) & (context >= 0))
             names, back = np.unique(context[there], return_inverse=True)
             weight = CODED[self.levels[k - 2].gather(names, "weight")][back]
-            rank = self.ranks(ids, sizes, k)
+            rank = self.extended(ids, place, rank, k)
             found = rank[there]
             frequency = np.zeros(len(there))
             seen = found >= 0
@@ -260,15 +246,15 @@ class Model:
         return p
 
 
-def _groups(batches: Iterator[pa.RecordBatch], column: int, most: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, int, list[bytes]]]:
-    """Texts of a column, up to about ``most`` bytes at once."""
+LOT = 1 << 22  # bytes of text at once
+
+
+def _groups(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """Rows with about ``LOT`` bytes of text at once, and their texts."""
     for batch in batches:
-        at = 0
-        while at < batch.num_rows:
-            texts = storage.texts_of(batch.column(column).slice(at, 512))
-            n = int(np.searchsorted(np.cumsum([len(t) for t in texts]), most)) + 1
-            yield batch, at, texts[:n]
-            at += len(texts[:n])
+        for at, n in lots(batch.column(column), LOT):
+            part = batch.slice(at, n)
+            yield part, part.column(column)
 
 
 def _deal(keys: np.ndarray, counts: np.ndarray, parts: np.ndarray) -> list[tuple[int, int, bytes]]:
@@ -308,12 +294,10 @@ def _files(df: DataFrame) -> dict[int, list]:
 
 def count_words(texts: DataFrame, folder: str, n: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held = Words(None), []
-        for _, _, some in _groups(batches, 0):
-            ids, _ = words.tokens(some)
-            seen = np.bincount(ids, minlength=len(words.hashes))
-            used = np.flatnonzero(seen)
-            held.append((words.hashes[used], seen[used]))
+        held = []
+        for _, texts in _groups(batches, 0):
+            ids, _, hashes = tokens_of(texts)
+            held.append((hashes, np.bincount(ids, minlength=len(hashes))))
             if sum(len(k) for k, _ in held) > 2_000_000:
                 held = [counted(*map(np.concatenate, zip(*held, strict=True)))]
                 if len(held[0][0]) > 1_500_000:
@@ -331,7 +315,7 @@ def count_words(texts: DataFrame, folder: str, n: int) -> DataFrame:
             save(where, nested("words", EliasFano(keys).arrays()) | {"counts": _small(counts)})
             yield packed([_manifest(part, where, len(keys), int(counts.sum()))])
 
-    return texts.mapInArrow(count, EXCHANGE).repartitionById(n, F.col("part")).mapInArrow(merge, EXCHANGE)
+    return texts.mapInArrow(storage.tidy(count), EXCHANGE).repartitionById(n, F.col("part")).mapInArrow(storage.tidy(merge), EXCHANGE)
 
 
 def count_grams(texts: DataFrame, model: Model, order: int, last: bool, folder: str, n: int) -> DataFrame:
@@ -342,12 +326,12 @@ def count_grams(texts: DataFrame, model: Model, order: int, last: bool, folder:
         raise ValueError("context and word do not fit 64 bits")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, held = Words(model), []
-        for _, _, some in _groups(batches, 0):
-            ids, sizes = words.tokens(some)
-            ids = words.rank[ids]
-            rank = model.ranks(ids, sizes, order - 1)
-            place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        held = []
+        for _, texts in _groups(batches, 0):
+            ids, sizes, hashes = tokens_of(texts)
+            ids = model.levels[0].find_words(hashes)[ids]
+            place = places(sizes)
+            rank = model.ranks(ids, place, order - 1)
             there = np.flatnonzero(place >= order - 1)
             keys = rank[there - 1].astype(np.uint64) << bits | ids[there].astype(np.uint64)
             held.append(np.unique(keys, return_counts=True))
@@ -380,7 +364,7 @@ def count_grams(texts: DataFrame, model: Model, order: int, last: bool, folder:
         home = np.searchsorted(lower.starts, names.astype(np.int64), side="right") - 1
         yield packed([_manifest(part, where, len(keys), int(counts.sum())), *_deal(names, ends - heads, home)])
 
-    return texts.mapInArrow(count, EXCHANGE).repartitionById(n, F.col("part")).mapInArrow(merge, EXCHANGE)
+    return texts.mapInArrow(storage.tidy(count), EXCHANGE).repartitionById(n, F.col("part")).mapInArrow(storage.tidy(merge), EXCHANGE)
 
 
 def weigh_contexts(dealt: DataFrame, lower: Level, folder: str, n: int) -> DataFrame:
@@ -398,7 +382,7 @@ def weigh_contexts(dealt: DataFrame, lower: Level, folder: str, n: int) -> DataF
         save(where, {"weight": weight})
         yield packed([_manifest(part, where, len(names), 0)])
 
-    return dealt.where("kind = 1").repartitionById(n, F.col("part")).mapInArrow(merge, EXCHANGE)
+    return dealt.where("kind = 1").repartitionById(n, F.col("part")).mapInArrow(storage.tidy(merge), EXCHANGE)
 
 
 def train(df: DataFrame, text_col: str = "text", order: int = 2) -> Model:
@@ -420,19 +404,21 @@ def train(df: DataFrame, text_col: str = "text", order: int = 2) -> Model:
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_tokens, n_known, train_tokens, base_score, score)`` of each row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(model)
-        for batch, at, texts in _groups(batches, 1):
-            local, sizes = words.tokens(texts)
-            ids, counts = words.rank[local], words.count[local]
+        for part, texts in _groups(batches, 1):
+            local, sizes, hashes = tokens_of(texts)
+            rank = model.levels[0].find_words(hashes)
+            count = np.zeros(len(rank), np.int64)
+            count[rank >= 0] = model.levels[0].gather(rank[rank >= 0], "counts")
+            ids, counts = rank[local], count[local]
             heads = np.cumsum(sizes) - sizes
             base = np.add.reduceat(np.log10((counts + 1) / (model.tokens + model.vocabulary + 1)), heads)
             own = np.add.reduceat(np.log10(model.probabilities(ids, counts, sizes)), heads)
             known = np.add.reduceat((counts > 0).astype(np.int64), heads)
-            columns = [batch.column(0).slice(at, len(texts)), pa.array(sizes), pa.array(known), pa.array(np.full(len(texts), model.tokens, np.int64)), pa.array(base), pa.array(own)]
+            columns = [part.column(0), pa.array(sizes), pa.array(known), pa.array(np.full(len(sizes), model.tokens, np.int64)), pa.array(base), pa.array(own)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     chosen = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return chosen.mapInArrow(storage.tidy(run), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def held_out_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = 2, parts: int = 7, part: int = 2) -> DataFrame:

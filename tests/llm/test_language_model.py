@@ -34,7 +34,7 @@ def plain(rows, order):
 
     def p(w, a, k):
         if k == 1:
-            return (uni[w[a],] or v) / (n + v) if n + v else 1.0
+            return (uni[w[a],] or 1) / (n + v) if n + v else 1.0
         context, lower = tuple(w[a - k + 1 : a]), p(w, a, k - 1)
         if not grams[k - 1][context]:
             return lower
