@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from .operators import render
 from .plans import build, collections
-from .plans.library import Library
+from .plans.library import Library, search_head
 from .sources.archive import archive_paths
 
 
@@ -45,18 +45,20 @@ def main() -> int:
     library = Library(spark, args.index)
     if args.command == "suggest":
         for r in library.suggest(args.query, args.limit).collect():
-            print(f"{r['score']:>8,}  {r['title']}")
+            print(f"{r['inbound']:>8,}  {r['title']}" + (f" ({r['matched']})" if r["matched"] else "") + (f" #{r['fragment']}" if r["fragment"] else ""))
     elif args.command == "search":
-        print(collections.search_text(library.search(args.query, args.limit), args.limit))
+        rows = library.search(args.query, args.limit).collect()
+        print("\n".join([search_head(len(rows), args.limit, args.query), *(f"{r['title']}: {r['summary']}" for r in rows)]))
     elif args.command == "random":
         print(library.random(args.seed))
     else:
         found = library.resolve_title(args.title)
         if found.entry is None:
-            print("Not found. " + ", ".join(r["title"] for r in found.suggestions or []))
+            begun = f" beginning with {found.prefix!r}" if found.prefix else ""
+            print(f"Not found; titles{begun}: " + ", ".join(r["title"] for r in found.suggestions or []))
             return 1
         if args.command == "links":
-            for r in library.links(found.entry).orderBy("rank").collect():
+            for r in library.links(found.entry, fragment=found.fragment).orderBy("rank").collect():
                 print(r["target"])
         else:
             doc = library.article(found.entry)

@@ -32,8 +32,14 @@ def sanitize_line(c: Column) -> Column:
     return collapse_whitespace(sanitize(c))
 
 
+#: White space and ``_`` become a space, other control characters go.
+_ASCII = {i: None for i in [*range(32), 127]} | dict.fromkeys([9, 10, 11, 12, 13, ord("_")], " ")
+
+
 def normalized(text: str) -> str:
     """Compatibility decomposition without marks, lower case letter by letter, ``_`` and white space as one space."""
+    if text.isascii():
+        return re.sub(" +", " ", text.lower().translate(_ASCII)).strip(" ")
     out: list[str] = []
     for c in unicodedata.normalize("NFKD", text):
         if unicodedata.combining(c) or unicodedata.category(c) in ("Mn", "Mc", "Me"):
@@ -45,6 +51,31 @@ def normalized(text: str) -> str:
     return re.sub(" +", " ", "".join(out)).strip(" ")
 
 
+_CONTROL = {i: None for i in [*range(0x20), *range(0x7F, 0xA0), *range(0x202A, 0x202F), *range(0x2066, 0x206A)] if i != 10}
+
+
+def sanitized(text: str) -> str:
+    """``sanitize`` for a single string."""
+    return text.translate(_CONTROL)
+
+
+def sanitized_line(text: str) -> str:
+    return SPACES.sub(" ", sanitized(text)).strip(" ")
+
+
+_NAMED = str.maketrans({"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;", "'": "&#39;"} | {chr(i): None for i in _CONTROL})
+
+
+def escaped(text: str) -> str:
+    """``escape_html`` for a single string, in one pass."""
+    return text.translate(_NAMED)
+
+
+def defused(text: str, opening: str, closing: str) -> str:
+    """``defuse`` for a single string."""
+    return text.replace(opening, opening.replace("<", "‹")).replace(closing, closing.replace("<", "‹"))
+
+
 @F.pandas_udf(T.StringType())
 def normalize(texts: pd.Series) -> pd.Series:
     """Arrow function: the form in which titles are compared."""
@@ -95,6 +126,8 @@ def slugify(c: Column) -> Column:
 
 
 def escape_html(c: Column) -> Column:
+    """Clean text for a page: control characters and direction marks go, the five signs of mark-up are named."""
+    c = sanitize(c)
     for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
         c = F.replace(c, F.lit(sign), F.lit(name))
     return c

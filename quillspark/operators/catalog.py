@@ -56,7 +56,7 @@ class Catalog:
         self.default = self.default or label
 
     def skip(self, path: str, kind: str, why: str) -> None:
-        self.skipped.append((path.rsplit("/", 1)[-1], kind, why))
+        self.skipped.append((text.sanitized_line(path.rsplit("/", 1)[-1]), kind, text.sanitized_line(why)))
 
     def select(self, label: str | None = None) -> object:
         """An explicit label, else the default; an unknown one names what is loaded."""

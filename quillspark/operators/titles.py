@@ -41,13 +41,43 @@ def best_per_target(hits: DataFrame, prefix: Column, by: list[str] | None = None
     return hits.withColumn("__exact", exact).withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n").withColumnRenamed("__exact", "exact")
 
 
-def suggest(titles: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """``(target, title, score, exact)``: best titles that begin with ``query``; none for a blank query or limit."""
+SHOWN = ("target", "title", "score", "exact")
+
+
+def ranked() -> tuple:
+    return F.desc("exact"), F.desc("score"), "norm_bytes", "target"
+
+
+def hits(titles: DataFrame, query: str, limit: int = 10) -> DataFrame:
+    """``(target, entry, title, score, exact)``: best titles that begin with ``query``; none for a blank query or limit."""
     prefix = text.normalized_prefix(query)
     if not prefix or limit <= 0:
-        return titles.limit(0).select("target", "title", "score", F.lit(False).alias("exact"))
-    hits = best_per_target(titles.where(F.col("norm").startswith(prefix)), F.lit(prefix))
-    return hits.orderBy(F.desc("exact"), F.desc("score"), "norm_bytes", "target").limit(limit).select("target", "title", "score", "exact")
+        return titles.limit(0).select("target", "entry", "title", "score", F.lit(False).alias("exact"))
+    found = best_per_target(titles.where(F.col("norm").startswith(prefix)), F.lit(prefix))
+    return found.orderBy(*ranked()).limit(limit).select("target", "entry", "title", "score", "exact")
+
+
+def suggest(titles: DataFrame, query: str, limit: int = 10) -> DataFrame:
+    """``(target, title, score, exact)`` of ``hits``."""
+    return hits(titles, query, limit).select(*SHOWN)
+
+
+def decorated(found: DataFrame, entry_titles: DataFrame, stubs: DataFrame) -> DataFrame:
+    """Suggestions for a reader: ``(article, title, matched, fragment, inbound, exact)``, best first.
+
+    ``found`` are the few rows that ``hits`` has left by its limit; they look up the article's own
+    title in ``entry_titles (entry, title)``, the title that matched where it is another entry's,
+    and the section where that entry is a section redirect of ``stubs (stub, fragment)``.
+    """
+    own = entry_titles.select(F.col("entry").alias("target"), F.col("title").alias("own"))
+    other = entry_titles.select("entry", F.col("title").alias("alias"))
+    ranked = found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("exact"), F.desc("score"), F.octet_length("title"), "target")))
+    ranked = ranked.select("rank", "target", "entry", "title", "score", "exact")
+    led = stubs.select(F.col("stub").alias("entry"), "fragment")
+    joined = ranked.join(own, "target", "left").join(other, "entry", "left").join(led, "entry", "left")
+    matched = F.when(F.col("entry") != F.col("target"), F.coalesce("alias", "title"))
+    shown = joined.select("rank", F.col("target").alias("article"), F.coalesce("own", "title").alias("title"), matched.alias("matched"), "fragment", F.col("score").alias("inbound"), "exact")
+    return shown.orderBy("rank").drop("rank")
 
 
 def suggest_many(titles: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
@@ -60,10 +90,10 @@ def suggest_many(titles: DataFrame, queries: DataFrame, limit: int = 10) -> Data
     if len(lengths) > 200:
         raise ValueError("prefixes are at most 200 characters long")
     heads = titles.withColumn("prefix", F.explode(F.array(*[F.left("norm", F.lit(n)) for n in lengths]) if lengths else F.array().cast("array<string>")))
-    hits = heads.where(F.char_length("prefix").isin(lengths)).distinct().join(queries.select("prefix").distinct(), "prefix")
-    best = best_per_target(hits, F.col("prefix"), ["prefix"])
+    met = heads.where(F.char_length("prefix").isin(lengths)).distinct().join(queries.select("prefix").distinct(), "prefix")
+    best = best_per_target(met, F.col("prefix"), ["prefix"])
     rank = F.row_number().over(Window.partitionBy("prefix").orderBy(F.desc("exact"), F.desc("score"), "norm_bytes", "target"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= limit).select("prefix", "rank", "target", "title", "score", "exact")
+    return best.withColumn("rank", rank).where(F.col("rank") <= limit).select("prefix", "rank", *SHOWN)
 
 
 def has_exact(titles: DataFrame, query: str) -> bool:
@@ -75,25 +105,30 @@ def has_exact(titles: DataFrame, query: str) -> bool:
 
 
 def shorter_prefixes(query: str) -> list[str]:
-    """The query's key and the shorter ones to try: five characters less, two thirds, three characters at least."""
-    key = text.normalized_prefix(query)
-    n = len(key)
+    """The query as typed and the shorter ones to try: five characters less, two thirds, three characters at least."""
+    n = len(query)
     least = max(n - 5, math.ceil(2 * n / 3), 3)
-    return [key, *(key[:k] for k in range(n - 1, least - 1, -1))] if key else []
+    return [query, *(query[:k] for k in range(n - 1, least - 1, -1))]
+
+
+def fallback_hits(titles: DataFrame, query: str, limit: int = 10) -> DataFrame:
+    """``hits`` of the longest of ``shorter_prefixes`` that has any, with that ``prefix`` (null if it is the query); one job."""
+    keys = {typed: key for typed in shorter_prefixes(query) if (key := text.normalized_prefix(typed))}
+    if not keys or limit <= 0:
+        return hits(titles, "", limit).withColumn("prefix", F.lit(None).cast("string"))
+    shortest = min(keys.values(), key=len)
+    named = F.array(*[F.struct(F.lit(len(typed)).alias("n"), F.lit(key).alias("key"), F.lit(typed).alias("typed")) for typed, key in keys.items()])
+    begun = titles.where(F.col("norm").startswith(shortest)).withColumn("try", F.array_max(F.filter(named, lambda t: F.col("norm").startswith(t["key"]))))
+    longest = begun.agg(F.max("try.n").alias("most"))
+    kept = begun.join(F.broadcast(longest), F.col("try.n") == F.col("most"))  # one row
+    best = best_per_target(kept.withColumns({"key": F.col("try.key"), "typed": F.col("try.typed")}).drop("try", "most"), F.col("key"))
+    prefix = F.when(F.col("typed") != query, F.col("typed")).alias("prefix")
+    return best.orderBy(*ranked()).limit(limit).select("target", "entry", "title", "score", "exact", prefix)
 
 
 def suggest_with_fallback(titles: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """``suggest`` for the longest of ``shorter_prefixes`` that hits anything, with that ``prefix``; one job."""
-    tries = shorter_prefixes(query)
-    if not tries:
-        return suggest(titles, "", limit).withColumn("prefix", F.lit(None).cast("string"))
-    hits = titles.where(F.col("norm").startswith(tries[-1] if len(tries[-1]) <= len(tries[0]) else tries[0]))
-    used = F.coalesce(*[F.when(F.col("norm").startswith(p), F.lit(p)) for p in tries])
-    hits = hits.withColumn("prefix", used)
-    longest = hits.agg(F.max(F.char_length("prefix")).alias("__most"))
-    kept = hits.crossJoin(F.broadcast(longest)).where(F.char_length("prefix") == F.col("__most")).drop("__most")
-    best = best_per_target(kept, F.col("prefix"), ["prefix"])
-    return best.orderBy(F.desc("exact"), F.desc("score"), "norm_bytes", "target").limit(limit).select("target", "title", "score", "exact", "prefix")
+    """``(target, title, score, exact, prefix)`` of ``fallback_hits``."""
+    return fallback_hits(titles, query, limit).select(*SHOWN, "prefix")
 
 
 def exact_elsewhere(titles: DataFrame, active: str, key: str, most: int = 3) -> DataFrame:

@@ -21,7 +21,8 @@ from ..operators.lineage import settled
 
 FORMAT = 1
 TABLES = ("entries", "paths", "documents", "links", "inbound", "stubs", "titles", "postings", "stats")
-REFRESH = r"(?is)<meta[^>]*http-equiv\s*=\s*[\"']?refresh[\"']?[^>]*content\s*=\s*[\"'][^\"'>]*url\s*=\s*([^\"'>]+)"
+#: What a refresh names: the first ``url=`` after it, up to a quote or the end of the tag.
+REFRESH = r"""(?is)http-equiv=(?:"refresh"|'refresh').*?url=['" ]*([^'">]*)['">]"""
 
 
 class WrongProducer(ValueError):
@@ -29,9 +30,13 @@ class WrongProducer(ValueError):
 
 
 def stub_href(html: Column) -> Column:
-    """Where a page of at most 4096 bytes that only refreshes to another one leads; null for any other page."""
-    href = F.trim(F.regexp_extract(html, REFRESH, 1))
-    return F.when((F.octet_length(html) <= 4096) & (href != ""), href)
+    """Where a page of at most 4096 bytes of valid UTF-8 that refreshes to another one leads; null for any other page.
+
+    ``html`` may be bytes or a string. Quotes around the address, of either kind or none, do not belong to it.
+    """
+    page = F.try_validate_utf8(html.cast("string"))
+    href = F.trim(F.regexp_extract(page, REFRESH, 1))
+    return F.when((F.octet_length(page) <= 4096) & (href != ""), href)
 
 
 def page_entries(pages: DataFrame) -> DataFrame:
@@ -43,9 +48,9 @@ def page_entries(pages: DataFrame) -> DataFrame:
 def parts(entries: DataFrame, front: DataFrame | None = None, stem: bool = False) -> dict[str, DataFrame]:
     """The index tables of ``entries``; ``front (entry)`` names what may be an article."""
     known = entries if front is None else entries.join(front, "entry", "left_semi")
-    pages = known.where("kind = 'content' AND mime = 'text/html'").select("entry", "path", "title", F.expr("make_valid_utf8(cast(content AS string))").alias("html"))
+    pages = known.where("kind = 'content' AND mime = 'text/html'").select("entry", "path", "title", F.expr("make_valid_utf8(cast(content AS string))").alias("html"), "content")
     paths = settled(graph.path_targets(entries))
-    leads = pages.withColumn("__l", text.classify_href(stub_href(F.col("html")), F.col("path"))).where("__l.kind = 'internal'")
+    leads = pages.withColumn("__l", text.classify_href(stub_href(F.col("content")), F.col("path"))).where("__l.kind = 'internal'")
     found = leads.select(F.col("entry").alias("stub"), F.col("__l.path").alias("path"), F.col("__l.fragment").alias("fragment")).join(paths.withColumnRenamed("entry", "target"), "path")
     found = settled(found)
     stubs = settled(graph.collapse_stubs(found.select("stub", "target", "fragment")))
@@ -55,15 +60,16 @@ def parts(entries: DataFrame, front: DataFrame | None = None, stem: bool = False
     inside = settled(graph.resolve_links(links.where("kind = 'internal'"), paths, stubs))
     resolved = inside.select("src", "pos", F.when(F.col("target").isNull(), "missing").otherwise("article").alias("kind"), "target", "path", "fragment", "url", "text")
     others = links.where("kind <> 'internal'").select("src", "pos", "kind", F.lit(None).cast("long").alias("target"), "path", "fragment", "url", "text")
+    resolved = settled(resolved)
     edges = resolved.where("target IS NOT NULL").select("src", F.col("target").alias("dst"))
     ids = documents.select(F.col("entry").alias("node"))
-    inbound = graph.inbound_links(edges, entries.select(F.col("entry").alias("node")))
+    inbound = settled(graph.inbound_links(edges, entries.select(F.col("entry").alias("node"))))
     redirects = known.where("kind = 'redirect'").select("title", "entry").join(graph.resolve_redirects(entries.where("kind = 'redirect'").select("entry", F.col("redirect_target").alias("target"))), "entry")
     follow = lambda df: df.join(stubs.select(F.col("stub").alias("target"), F.col("target").alias("__t")), "target", "left").withColumn("target", F.coalesce("__t", "target")).drop("__t").join(ids.withColumnRenamed("node", "target"), "target", "left_semi")
     rows = titles.title_rows(articles.select("title", "entry", F.col("entry").alias("target")), follow(redirects).select("title", "entry", "target"), pages.select("title", F.col("entry").alias("stub")).join(stubs, "stub").select("title", F.col("stub").alias("entry"), "target"))
     aliases = titles.alternative_titles(rows.where("entry <> target").select("target", F.col("entry").alias("position"), "title"))
     searched = documents.select("entry", "title", "body").join(aliases.select(F.col("target").alias("entry"), "alt_titles"), "entry", "left")
-    posted = fulltext.postings(searched, stem=stem)
+    posted = settled(fulltext.postings(searched, stem=stem))
     return {"paths": paths, "documents": documents, "links": resolved.unionByName(others), "inbound": inbound, "stubs": stubs, "titles": titles.build_titles(rows, inbound), "postings": posted, "stats": fulltext.field_stats(posted, documents.select("entry")), "entries": entries.drop("content")}
 
 
@@ -77,6 +83,8 @@ def build_index(spark: SparkSession, entries: DataFrame, out: str, front: DataFr
     for table in TABLES:
         if table == "paths":
             made[table].repartitionByRange("path").sortWithinPartitions("path").write.mode("overwrite").parquet(f"{staging}/{table}")
+        elif table in ("documents", "entries"):
+            made[table].repartitionByRange("entry").sortWithinPartitions("entry").write.mode("overwrite").parquet(f"{staging}/{table}")
         elif table == "titles":
             titles.write_titles(made[table], f"{staging}/{table}")
         elif table == "postings":
@@ -86,7 +94,7 @@ def build_index(spark: SparkSession, entries: DataFrame, out: str, front: DataFr
     read = lambda t: spark.read.parquet(f"{staging}/{t}")
     links = read("links")
     meta = (source or {}) | {
-        "format": FORMAT, "built": int(time.time()), "name": name, "label": re.sub("_.*", "", name).lower() or None,
+        "format": FORMAT, "built": int(time.time()), "name": name, "scraper": scraper, "label": re.sub("_.*", "", name).lower() or None,
         "articles": read("documents").count(), "section_redirects": read("stubs").count(), "title_keys": read("titles").count(),
         "redirects": read("titles").where("entry <> target").count() - read("titles").join(read("stubs"), F.col("entry") == F.col("stub"), "left_semi").count(),
         **links.where("kind IN ('article', 'missing')").agg(F.count_if((F.col("kind") == "article") & (F.col("target") != F.col("src"))).alias("internal_links"), F.count_if(F.col("kind") == "missing").alias("missing_links")).first().asDict(),

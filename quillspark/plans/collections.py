@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
+from ..functions import text
 from ..operators import catalog
+from ..operators.document import short
 from ..sources.archive import Archive
 from . import build
-from .library import Library
+from .library import Library, limit_for, search_head
 
 
 class Collection:
@@ -47,8 +48,11 @@ class Collection:
             raise
 
 
-def open_collections(spark: SparkSession, given: dict[str, str | None], default: str | None = None) -> catalog.Catalog:
-    """A catalog of index folders (with their archives); what cannot be used is skipped with a reason."""
+def open_collections(spark: SparkSession, given: dict[str, str | None], default: str | None = None, any_producer: bool = True) -> catalog.Catalog:
+    """A catalog of index folders (with their archives); what cannot be used is skipped with a reason.
+
+    Unless ``any_producer``, an index that records another program than the known one is skipped.
+    """
     out = catalog.Catalog()
     usable: list[tuple[str, Collection]] = []
     for index, archive in given.items():
@@ -56,7 +60,11 @@ def open_collections(spark: SparkSession, given: dict[str, str | None], default:
             if not build._exists(spark, f"{index}/meta"):
                 out.skip(index, "not imported", "no index")
                 continue
-            usable.append((index, Collection(spark, index, archive)))
+            one = Collection(spark, index, archive)
+            if not any_producer and not (one.meta.get("scraper") or "").lower().startswith(catalog.PRODUCER):
+                out.skip(index, "wrong producer", f"made by {one.meta.get('scraper') or 'an unknown program'}")
+                continue
+            usable.append((index, one))
         except Exception as e:  # noqa: BLE001 - told per collection
             out.skip(index, "unusable", str(e).splitlines()[0])
     for index, one in usable:
@@ -89,7 +97,22 @@ def summary(found: catalog.Catalog) -> str:
     return "\n".join(lines + [f"skipped {path}: {kind}: {why}" for path, kind, why in found.skipped])
 
 
-def search_text(hits: DataFrame, limit: int) -> str:
-    """Search results as lines of text; the head never claims a total."""
-    rows = hits.orderBy(F.desc("score"), "article").limit(limit).collect()
-    return "\n".join([f"Best {len(rows)} matches:" if rows else "No matches."] + [f"{r['title']}: {r['summary']}" for r in rows])
+#: Around text of articles, which must not be able to close it.
+FENCE = ("<article-text>", "</article-text>")
+
+
+def fenced(line: str) -> str:
+    return FENCE[0] + text.defused(text.sanitized_line(line), *FENCE) + FENCE[1]
+
+
+def search_text(found: catalog.Catalog, query: str, limit: int | None = None, label: str | None = None) -> str:
+    """Search results of a collection as lines of text; text of articles is fenced."""
+    limit = limit_for("tool", limit)
+    rows = found.select(label).library().blended(query, limit)
+    active = label or found.default
+    others = [] if rows else elsewhere(found, active, query)
+    lines = [search_head(len(rows), limit, query, active if len(found.loaded) > 1 else None, others)]
+    for r in rows:
+        more = f" via {fenced(r['matched'])}" if r["matched"] else f": {fenced(short(r['summary'], 160))}" if r["summary"] else ""
+        lines.append(fenced(r["title"]) + more)
+    return "\n".join(lines)

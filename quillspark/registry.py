@@ -180,11 +180,61 @@ def title_union_dedup(spark, sf_dir):
 @query(f"""
 WITH {TITLES}, tries AS (SELECT unnest(['redx', 'red']) AS prefix),
 m AS (SELECT max(length(prefix)) AS n FROM tries JOIN t ON starts_with(norm, prefix))
-SELECT target, title, score, false AS exact, prefix FROM tries, m, t
-WHERE length(prefix) = n AND starts_with(norm, prefix) ORDER BY score DESC, strlen(norm), target LIMIT 10
+SELECT target, title, score, norm = prefix AS exact, CASE WHEN prefix <> 'redx' THEN prefix END AS prefix FROM tries, m, t
+WHERE length(prefix) = n AND starts_with(norm, prefix) ORDER BY norm = prefix DESC, score DESC, strlen(norm), target LIMIT 10
 """)
 def prefix_fallback(spark, sf_dir):
-    return titles.suggest_with_fallback(part_titles(spark, sf_dir), "redx", 10).withColumn("exact", F.col("exact") & F.lit(False))
+    return titles.suggest_with_fallback(part_titles(spark, sf_dir), "redx", 10)
+
+
+@query(f"""
+WITH {ALIASES}, r AS (
+  SELECT *, row_number() OVER (PARTITION BY target ORDER BY title = 'red' DESC, entry = target DESC, strlen(title), title, entry) AS n
+  FROM a WHERE starts_with(title, 'red')
+), f AS (SELECT r.*, o.title AS own, coalesce(s.score, 0) AS score FROM r
+  JOIN a o ON o.entry = r.target LEFT JOIN (SELECT l_partkey AS target, count(*) AS score FROM lineitem GROUP BY 1) s ON s.target = r.target WHERE n = 1)
+SELECT target AS article, own AS title, CASE WHEN entry <> target THEN title END AS matched,
+  CASE WHEN entry > 2000000 THEN 'Part ' || (entry % 7) END AS fragment, score AS inbound, title = 'red' AS exact
+FROM f ORDER BY title = 'red' DESC, score DESC, strlen(title), target LIMIT 10
+""")
+def suggest_rows(spark, sf_dir):
+    """Suggestions with the article's own title, the alias that matched, and the section it leads to."""
+    rows = _aliases(spark, sf_dir)
+    score = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("node")).agg(F.count("*").alias("inbound"))
+    stubs = rows.where("entry > 2000000").select(F.col("entry").alias("stub"), F.concat(F.lit("Part "), (F.col("entry") % 7).cast("string")).alias("fragment"))
+    return titles.decorated(titles.hits(titles.build_titles(rows, score, norm=F.col("title")), "Red", 10), rows, stubs)
+
+
+#: Addresses that reach every branch: (href, kind, path, fragment, url), seen from the page A/P/Q.
+HREFS = (
+    ("#Top%20x", "anchor", None, "Top x", None), (" ", None, None, None, None), ("", None, None, None, None), ("//x.org/a", "external", None, None, "//x.org/a"),
+    ("HTTPS://x", "external", None, None, "HTTPS://x"), ("mailto:a@b", "external", None, None, "mailto:a@b"), ("a://b", "external", None, None, "a://b"), ("../C/./D?x=1#S%20t", "internal", "A/C/D", "S t", None),
+    ("/B/E", "internal", "B/E", None, None), ("a%2Fb#", "internal", "A/P/a/b", None, None), ("../../../x", "internal", "x", None, None), (" R ", "internal", "A/P/R", None, None),
+)
+#: Pages and where they lead.
+STUBS = (
+    ('<meta http-equiv="refresh" content="0;url=A#b">', "A#b"), ("<META HTTP-EQUIV='Refresh' CONTENT='0; URL=\"A b\"'>", "A b"), ('<meta http-equiv="refresh" content="0; url=\'A\'">', "A"),
+    ('<meta http-equiv="refresh" content=0;url=A>', "A"), ('<meta http-equiv="refresh" content="0">', None), ("<p>url=A</p>", None), ("", None),
+)
+
+
+def _listed(rows: tuple, *columns: str) -> str:
+    said = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
+    return f"(VALUES {', '.join('(' + ', '.join(map(said, r)) + ')' for r in rows)}) AS v({', '.join(columns)})"
+
+
+@query(f"SELECT href, kind, path, fragment, url FROM {_listed(HREFS, 'href', 'kind', 'path', 'fragment', 'url')}")
+def href_cases(spark, sf_dir):
+    """Every kind of address; the twin states the expected rows."""
+    rows = spark.createDataFrame([(r[0],) for r in HREFS], "href string")
+    link = text.classify_href(F.col("href"), F.lit("A/P/Q"))
+    return rows.select("href", *(link[k].alias(k) for k in ("kind", "path", "fragment", "url")))
+
+
+@query(f"SELECT html, leads FROM {_listed(STUBS, 'html', 'leads')}")
+def stub_cases(spark, sf_dir):
+    """Every form of a refresh; the twin states the expected rows."""
+    return spark.createDataFrame([(r[0],) for r in STUBS], "html string").select("html", build.stub_href(F.col("html")).alias("leads"))
 
 
 @query(f"""
@@ -216,8 +266,7 @@ def alt_titles(spark, sf_dir):
 
 
 def _text_docs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry"), F.substring_index("text", "\n", 1).alias("title"), F.lit("").alias("alt_titles"), F.col("text").alias("body"))
-    return docs.where("entry % 1 = 0")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry"), F.substring_index("text", "\n", 1).alias("title"), F.lit("").alias("alt_titles"), F.col("text").alias("body"))
 
 
 def _bm25(spark, sf_dir, asked):
@@ -304,14 +353,14 @@ def domain_of(spark, sf_dir):
 
 
 @query(f"""
-SELECT doc_id, md5(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS html,
-  regexp_replace(trim(regexp_replace(left(text, 60), '[{W}]+', ' ', 'g')), ' ', '_', 'g') AS slug,
+SELECT doc_id, md5(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(text, '[\\x{{00}}-\\x{{09}}\\x{{0b}}-\\x{{1f}}\\x{{7f}}-\\x{{9f}}]', '', 'g'), '[\\x{{202a}}-\\x{{202e}}\\x{{2066}}-\\x{{2069}}]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;')) AS html,
+  regexp_replace(trim(regexp_replace(text, '[{W}]+', ' ', 'g')), ' ', '_', 'g') AS slug,
   CASE WHEN length(text) > 6000 THEN 6000 END AS next, length(substring(text, 1, 6000)) AS page_chars
 FROM documents
 """)
 def escape_slug_page(spark, sf_dir):
     page = text_page = sections.text_page(F.col("text"), 0)
-    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.escape_html(F.col("text")).cast("binary")).alias("html"), text.slugify(F.left("text", F.lit(60))).alias("slug"), page["next"].cast("int").alias("next"), F.char_length(text_page["page"]).cast("long").alias("page_chars"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.escape_html(F.col("text")).cast("binary")).alias("html"), text.slugify(F.col("text")).alias("slug"), page["next"].cast("int").alias("next"), F.char_length(text_page["page"]).cast("long").alias("page_chars"))
 
 
 def _sections(spark, sf_dir):
@@ -549,11 +598,11 @@ def page_entries(spark, sf_dir):
 
 @query("""
 SELECT doc_id, length(text) > 40 AS cut, CASE WHEN length(t) > 40 THEN left(t, 40) || '…' ELSE t END AS echo FROM (
-  SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(left(text, 300), '[\\x{00}-\\x{09}\\x{0b}-\\x{1f}\\x{7f}-\\x{9f}]', '', 'g'), '[\\x{202a}-\\x{202e}\\x{2066}-\\x{2069}]', '', 'g'), '[%s]+', ' ', 'g')) AS t FROM documents)
+  SELECT *, trim(regexp_replace(regexp_replace(regexp_replace(text, '[\\x{00}-\\x{09}\\x{0b}-\\x{1f}\\x{7f}-\\x{9f}]', '', 'g'), '[\\x{202a}-\\x{202e}\\x{2066}-\\x{2069}]', '', 'g'), '[%s]+', ' ', 'g')) AS t FROM documents)
 """ % W)
 def echo_line(spark, sf_dir):
     """Text as a message repeats it."""
-    return table(spark, sf_dir, "documents").select("doc_id", (F.char_length("text") > 40).alias("cut"), text.echo(F.left("text", F.lit(300)), 40).alias("echo"))
+    return table(spark, sf_dir, "documents").select("doc_id", (F.char_length("text") > 40).alias("cut"), text.echo(F.col("text"), 40).alias("echo"))
 
 
 @query("""

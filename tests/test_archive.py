@@ -1,7 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.plans import build
-from quillspark.plans.library import Library, redirect_note
+from quillspark.plans.library import Library, NoSection, limit_for, redirect_note, search_head
 from quillspark.sources import archive
 
 PAGE = "<html><body><h1>{0}</h1>{1}</body></html>"
@@ -92,10 +93,15 @@ def test_counters(library):
 def test_queries(library):
     paths = {r.path: r.entry for r in library.table("entries").collect()}
     top = library.suggest("phys").collect()
-    assert [r.title for r in top] == ["Physicist", "Physics"] and not top[0].exact
-    assert [r.title for r in library.suggest("scientist").collect()] == ["Scientist"] and library.suggest("scientist").first().exact
+    assert [(r.title, r.matched, r.fragment, r.inbound, r.exact) for r in top] == [("Physicist", None, None, 3, False), ("Physics", None, None, 1, False)]
+    alias = library.suggest("scientist").first()
+    assert (alias.article, alias.title, alias.matched, alias.fragment, alias.exact) == (paths["Physicist"], "Physicist", "Scientist", None, True)
+    section = library.suggest("work of").first()
+    assert (section.title, section.matched, section.fragment) == ("Physicist", "Work of physicists", "Work")
     assert library.has_exact("CAFE") and not library.has_exact("caf") and not library.has_exact("caf\x00e")
-    assert library.suggest_with_fallback("physicx").first().prefix == "physic"
+    close, prefix = library.suggest_with_fallback("Physicx")
+    assert prefix == "Physic" and [r.title for r in close] == ["Physicist", "Physics"]
+    assert library.suggest_with_fallback("physic")[1] is None and library.suggest_with_fallback("Zzzzzz") == ([], None)
     assert library.suggest("").count() == library.suggest("p", 0).count() == 0
     assert library.find("Work_of_physicists") == (paths["Physicist"], "Work") and library.find("Loop") is None
     assert library.resolve_title("marie curie").entry == paths["Curie"]
@@ -104,12 +110,27 @@ def test_queries(library):
     assert library.search("measuring").first().title == "Physicist"
     assert {r.title for r in library.search("coffee measuring").collect()} == {"Café", "Physicist"}
     assert library.search("doer").first().title == "Physicist"
-    assert [r.entry for r in library.blended("physics", 3).collect()][0] == paths["Physics"]
+    both = library.blended("physics", 3)
+    assert both[0] == {"article": paths["Physics"], "title": "Physics", "matched": None, "summary": None} and both[1]["summary"]
+    assert len({r["article"] for r in both}) == len(both) and library.blended("scientist", 1)[0]["matched"] == "Scientist"
+    kinds = [(r.kind, r.title) for r in library.titles_and_texts("physics").collect()]
+    assert kinds.count(("title", "Physics")) == kinds.count(("text", "Physics")) == 1
     assert "Measuring." in library.read(paths["Physicist"], "Work") and "- Work" in library.read(paths["Physicist"])
+    physicist = paths["Physicist"]
+    assert library.read(physicist, "1") == library.read(physicist, "work") == library.read(physicist, fragment="Work")
+    assert library.read(physicist, fragment="1") == library.read(physicist, fragment="Gone") == library.read(physicist)
+    assert library.read(physicist, "Outline") == "1. Work"
+    with pytest.raises(NoSection, match='no section "Life" in "Physicist" \\(2 sections\\):\n1. Work'):
+        library.read(physicist, "Life")
+    assert [r.target for r in library.links(physicist, "Work").collect()] == [physicist]
+    assert tuple(library.link_counts(physicist, "Work").first())[1:] == (1, 0, 0) and library.links(physicist, fragment="Gone").count() == 2
+    with pytest.raises(NoSection):
+        library.links(physicist, "Life")
     assert [r.target for r in library.links(paths["Curie"]).collect()] == [paths["Physicist"]]
     assert tuple(library.link_counts(paths["Physicist"]).first())[1:] == (2, 1, 0)
     html = library.html(paths["Physicist"])
     assert '<a class="article" href="Physics">' in html and '<span class="missing">' in html and '<h2 id="Work">' in html
+    assert '<a class="article" href="Physicist">' in library.html(paths["Café"]) and "Scientist" not in library.html(paths["Café"])
     assert library.random(7) in paths.values()
     assert redirect_note("scientist", "Physicist") and not redirect_note("café", "Cafe")
     with pytest.raises(ValueError):
@@ -137,4 +158,31 @@ def test_collections(spark, library, tmp_path):
             wrong.library()
     with pytest.raises(ValueError):
         collections.open_collections(spark, {str(tmp_path / "none"): None})
-    assert collections.search_text(library.search("measuring"), 3).startswith("Best 1 matches:")
+    lines = collections.search_text(found, "measuring", 3).split("\n")
+    assert lines == ['1 for "measuring"', "<article-text>Physicist</article-text>: <article-text>A physics person. gone</article-text>"]
+    assert collections.search_text(found, "scientist", 1).split("\n")[1] == "<article-text>Physicist</article-text> via <article-text>Scientist</article-text>"
+    assert collections.search_text(found, "zzzz") == 'Nothing for "zzzz"; try other words, or fewer'
+    with pytest.raises(ValueError):
+        collections.search_text(found, " ")
+    assert search_head(0, 8, "x\x07", "a", ["b"]) == 'Nothing for "x" in a; b has a page of just this title: read it with collection="b"'
+    assert search_head(8, 8, "x").endswith("higher limit") and [limit_for("tool"), limit_for("tool", 99), limit_for("web search", 0)] == [8, 20, 1]
+    assert "<article-text>‹/article-text>" in collections.fenced("</article-text>")
+    skipped = collections.open_collections(spark, {library.path: zim, str(tmp_path / "x\x1b"): None}, any_producer=False).skipped
+    assert skipped == [("x", "not imported", "no index")]
+
+
+def test_stub_pages(spark):
+    """Each form of the address, and pages that are none."""
+    head = "<head><meta http-equiv=\"refresh\" content="
+    given = {
+        head + "\"0;url=A#b\">": "A#b", head + "'0; url=\"A b\"'>": "A b", head + "\"0; URL='A'\">": "A", head + "0;url=A>": "A", head.replace('"refresh"', "'REFRESH'") + "\"0;url=A\">": "A",
+        head + "\"0\">": None, head + "\"0;url=\">": None, "url=A <p>": None, head + "\"0;url=A\">" + "x" * 4096: None, "": None,
+    }
+    rows = [(h.encode(), w) for h, w in given.items()] + [(b"\xff" + head.encode() + b"\"0;url=A\">", None), (None, None)]
+    got = spark.createDataFrame(rows, "html binary, want string").select("want", build.stub_href(F.col("html")).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+
+
+def test_documents_in_order(library):
+    found = [r.entry for r in library.table("documents").collect()]
+    assert found == sorted(found)

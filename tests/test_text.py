@@ -18,7 +18,7 @@ def test_prefixes():
     assert text.normalized_prefix("New ") == "new " and text.normalized_prefix("New_") == "new " and text.normalized_prefix(" ") == ""
     assert shorter_prefixes("redx") == ["redx", "red"]
     assert shorter_prefixes("abcdefgh") == ["abcdefgh", "abcdefg", "abcdef"]
-    assert shorter_prefixes("") == []
+    assert shorter_prefixes("Éa b_cd") == ["Éa b_cd", "Éa b_c", "Éa b_"] and shorter_prefixes("") == [""]
 
 
 def rows(spark, values, *columns):
@@ -37,6 +37,10 @@ def test_column_functions(spark):
     assert rows(spark, ["Wiki_en_all", "simple-", "9x", "ab"], text.label_of(v), text.is_label(text.label_of(v))) == [("wiki", True), ("simple-", False), ("9x", False), ("ab", True)]
     assert rows(spark, ["日本", "éx"], text.display_width(v)) == [(4,), (2,)]
     assert rows(spark, ["<a & \"b\"'>"], text.escape_html(v)) == [("&lt;a &amp; &quot;b&quot;&#39;&gt;",)]
+    assert rows(spark, ["a\x07\u202e<\n"], text.escape_html(v)) == [("a&lt;\n",)] and text.escaped("a\x07\u202e<\n'") == "a&lt;\n&#39;"
+    assert rows(spark, ["x <t> </t>"], text.defuse(v, "<t>", "</t>")) == [("x ‹t> ‹/t>",)] and text.defused("<t></t>", "<t>", "</t>") == "‹t>‹/t>"
+    assert rows(spark, ["\x01\xff"], text.uuid_hex(F.encode(v, "iso-8859-1"))) == [("01ff",)]
+    assert text.sanitized_line(" a\x00 \n b\u2066 ") == "a b"
     assert rows(spark, ["12345"], text.with_thousands(v.cast("int"))) == [("12,345",)]
 
 
