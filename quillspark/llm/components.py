@@ -1,9 +1,11 @@
 """Connected components of an edge table, without gathering any part of it.
 
-Every node starts with its own label. A round gives each node the least label among its
-own and its neighbours', then replaces a label by its label's label (pointer jumping), so
-labels travel at doubling distance. Rounds stop when no label changes; each round's table
-is written to the shared folder, so a lost executor costs at most one round.
+Randomised contraction: in each round every node picks, among itself and its neighbours, the
+node of the least priority (a hash of the node), and all edges move to what their ends
+picked. Whatever the order of the ids, this takes away a constant share of the nodes that
+still have edges (a star needs two rounds), so rounds are logarithmic and all rounds together
+cost about as much as the first. Picks are then followed back from the last round to the first. Each
+round's tables are written to the shared folder, so a lost executor costs at most one round.
 """
 
 from __future__ import annotations
@@ -14,18 +16,28 @@ from pyspark.sql import functions as F
 from . import storage
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """``(node, label)`` for each node of ``edges (a, b)``: label is the least node reachable."""
-    both = storage.settle(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct(), "edges")
-    labels = storage.settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b")).select("node", F.least("node", "b").alias("label")), "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("seen"))
-        least = labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "seen").alias("label"))
-        least = storage.settle(least, "labels")
-        jump = least.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        moved = least.join(jump, "label", "left").select("node", "old", F.least("label", "further").alias("label"))
-        moved = storage.settle(moved, "labels")
-        labels = moved.select("node", "label")
-        if moved.where("label <> old").isEmpty():
-            return labels
-    raise RuntimeError("components did not settle")
+def components(edges: DataFrame) -> DataFrame:
+    """``(node, label)`` for each node of ``edges (a, b)`` that has another neighbour than itself: label is the least node reachable.
+
+    Repeated edges and loops count for nothing; an empty table gives no rows.
+    """
+    both = edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).where("a <> b").distinct()
+    both = storage.settle(both, "edges")
+    picks: list[DataFrame] = []
+    priority = lambda name: F.xxhash64(F.col(name), F.lit(1))
+    while not both.isEmpty():
+        least = both.groupBy("a").agg(F.min_by("b", priority("b")).alias("b"))
+        picked = F.when(priority("b") < priority("a"), F.col("b")).otherwise(F.col("a"))
+        picks.append(storage.settle(least.select(F.col("a").alias("node"), picked.alias("pick")), "picks"))
+        first, second = (picks[-1].withColumnsRenamed({"node": end, "pick": f"p{end}"}).hint("merge") for end in "ab")
+        moved = both.join(first, "a").join(second, "b").where("pa <> pb").select(F.col("pa").alias("a"), F.col("pb").alias("b")).distinct()
+        both = storage.settle(moved, "edges")
+    if not picks:
+        return both.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    names = picks.pop()
+    while picks:
+        further = names.select(F.col("node").alias("pick"), F.col("pick").alias("last"))
+        names = picks.pop().join(further.hint("merge"), "pick", "left").select("node", F.coalesce("last", "pick").alias("pick"))
+        names = storage.settle(names, "names")
+    least = storage.settle(names.groupBy("pick").agg(F.min("node").alias("label")), "least")
+    return names.join(least.hint("merge"), "pick").select("node", "label")

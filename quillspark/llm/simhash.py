@@ -60,7 +60,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     text = F.col(text_col).cast("string")
     chosen = df.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("hash"))
-    return chosen.mapInArrow(run, "doc_id long, hash long, bits long")
+    return chosen.mapInArrow(storage.tidy(run), "doc_id long, hash long, bits long")
 
 
 def band_masks(n: int, radius: int, most_per_bucket: float = 2.0) -> list[int]:
@@ -149,8 +149,11 @@ def lanes(mask: np.ndarray) -> np.ndarray:
     return np.packbits(full, bitorder="little").view("<u8")
 
 
-def bucket_links(keys: np.ndarray, sides: np.ndarray, bits: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links that join the members of each bucket; rows come sorted by key.
+def bucket_links(keys: np.ndarray, sides: np.ndarray, bits: np.ndarray, radius: int, names: np.ndarray | None = None) -> np.ndarray:
+    """Links (two columns of row numbers) that join the members of each bucket; rows come sorted by key.
+
+    With ``names``, members of one name are not compared, and every link between two names
+    is returned, as a link that still has to be checked joins nothing.
 
     ``sides`` is 0 in an ordinary bucket. In a meeting of two pieces it is 1 or 2, and only
     members of different sides are compared (each piece is compared in itself elsewhere).
@@ -159,7 +162,7 @@ def bucket_links(keys: np.ndarray, sides: np.ndarray, bits: np.ndarray, radius:
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     sizes = np.diff(np.concatenate((starts, [n])))
     begins, ends = np.repeat(starts, sizes), np.repeat(starts + sizes, sizes)
-    parent, out = np.arange(n), []
+    parent, out = np.arange(n) if names is None else names, [np.empty((0, 2), np.int64)]
     d = 1
 
     def root(i: int) -> int:
@@ -173,7 +176,7 @@ def bucket_links(keys: np.ndarray, sides: np.ndarray, bits: np.ndarray, radius:
     while True:
         open_ = alive_rows + d < row_ends
         if not open_.any():
-            return out
+            return np.concatenate(out)
         if open_.sum() * 2 < len(alive_rows):  # go on with the buckets that reach this far
             chosen = row_ends - begins[alive_rows] > d
             alive_rows, row_bits, row_ends, row_sides = alive_rows[chosen], row_bits[chosen], row_ends[chosen], row_sides[chosen]
@@ -186,12 +189,16 @@ def bucket_links(keys: np.ndarray, sides: np.ndarray, bits: np.ndarray, radius:
         if want.any():
             hits = within(p ^ shifted(p, d), radius, lanes(want))
             found = np.flatnonzero(np.unpackbits(hits.view(np.uint8), bitorder="little"))
-            if len(found):
+            if len(found) and names is not None:
+                out.append(np.stack((alive_rows[found], alive_rows[found + d]), axis=1))
+            elif len(found):
+                joined = []
                 for i, j in zip(alive_rows[found].tolist(), alive_rows[found + d].tolist(), strict=True):
                     a, b = root(i), root(j)
                     if a != b:
                         parent[max(a, b)] = min(a, b)
-                        out.append((i, j))
+                        joined.append((i, j))
+                out.append(np.array(joined, np.int64).reshape(-1, 2))
                 while not np.array_equal(up := parent[parent], parent):
                     parent = up
         d += 1
@@ -204,41 +211,45 @@ def links(distinct: DataFrame, radius: int = 4, piece: int = 2048) -> DataFrame:
     choices = F.array(*[F.struct(F.lit(i).alias("c"), F.lit(m - (1 << 64) if m >> 63 else m).alias("m")) for i, m in enumerate(masks)])
     dealt = distinct.withColumn("choice", F.explode(choices)).select("bits", F.xxhash64(F.col("choice.c"), F.col("bits").bitwiseAND(F.col("choice.m"))).alias("bucket"))
     shared = dealt.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    # Only a bucket's size is joined back; large buckets are spread over pairs of pieces.
+    # Only a bucket's size is joined back.
     shared = storage.settle(shared, "buckets")
-    members = dealt.join(shared, "bucket").withColumn("pieces", F.ceil(F.col("n") / piece).cast("int"))
-    own = F.pmod(F.xxhash64("bits"), F.col("pieces")).cast("int")
-    members = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    side = F.when(low == high, 0).when(F.col("own") == low, 1).otherwise(2)
-    keyed = members.select(F.when(F.col("pieces") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", low, high)).alias("key"), side.cast("int").alias("side"), "bits")
+    keyed = in_pieces(dealt.join(shared, "bucket"), "bucket", "bits", piece, ["bits"])
     sorted_ = keyed.repartition(storage.shards(spark), "key").sortWithinPartitions("key")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[tuple[np.ndarray, ...]] = []
-        held = 0
+        for keys, sides, bits in whole_buckets(batches):
+            ends = bits[bucket_links(keys, sides, bits.view("<u8"), radius)]
+            yield pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
 
-        def flush(parts: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-            keys, sides, bits = parts
-            found = np.array(bucket_links(keys, sides, bits, radius), np.int64).reshape(-1, 2)
-            ends = bits[found].view("<i8").reshape(-1, 2)
-            return pa.RecordBatch.from_arrays([pa.array(ends[:, 0]), pa.array(ends[:, 1])], ["a", "b"])
+    return sorted_.mapInArrow(storage.tidy(compare), "a long, b long")
 
-        for batch in batches:
-            rest.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)))
-            rest[-1] = (rest[-1][0], rest[-1][1], rest[-1][2].view("<u8"))
-            held += batch.num_rows
-            if held >= 1 << 17:
-                whole = tuple(map(np.concatenate, zip(*rest, strict=True)))
-                cut = int(np.searchsorted(whole[0], whole[0][-1]))
-                rest = [tuple(x[cut:] for x in whole)]
-                held = len(whole[0]) - cut
-                if cut:
-                    yield flush(tuple(x[:cut] for x in whole))
-        if held:
-            yield flush(tuple(map(np.concatenate, zip(*rest, strict=True))))
-
-    return sorted_.mapInArrow(compare, "a long, b long")
+
+def in_pieces(members: DataFrame, bucket: str, member: str, piece: int, columns: list[str]) -> DataFrame:
+    """``(key, side, *columns)``: buckets of ``n`` members, those beyond ``piece`` spread over pairs of pieces."""
+    members = members.withColumn("pieces", F.ceil(F.col("n") / piece).cast("int"))
+    own = F.pmod(F.xxhash64(member), F.col("pieces")).cast("int")
+    members = members.withColumn("own", own).withColumn("opposite", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    low, high = F.least("own", "opposite"), F.greatest("own", "opposite")
+    side = F.when(low == high, 0).when(F.col("own") == low, 1).otherwise(2)
+    return members.select(F.when(F.col("pieces") == 1, F.col(bucket)).otherwise(F.xxhash64(bucket, low, high)).alias("key"), side.cast("int").alias("side"), *columns)
+
+
+def whole_buckets(batches: Iterator[pa.RecordBatch], most: int = 1 << 17) -> Iterator[tuple[np.ndarray, ...]]:
+    """The columns of rows that come sorted by the first, about ``most`` at a time; no bucket is parted."""
+    rest: list[tuple[np.ndarray, ...]] = []
+    held = 0
+    for batch in batches:
+        rest.append(tuple(c.to_numpy(zero_copy_only=False) for c in batch.columns))
+        held += batch.num_rows
+        if held >= most:
+            whole = tuple(map(np.concatenate, zip(*rest, strict=True)))
+            cut = int(np.searchsorted(whole[0], whole[0][-1]))
+            rest = [tuple(x[cut:] for x in whole)]
+            held = len(whole[0]) - cut
+            if cut:
+                yield tuple(x[:cut] for x in whole)
+    if held:
+        yield tuple(map(np.concatenate, zip(*rest, strict=True)))
 
 
 def grouped(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 4, radius: int = 4) -> DataFrame:
@@ -261,7 +272,4 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_
     """One row of each group, all columns: the smallest id (rows without id come last), then the least text hash."""
     order = F.struct(F.col("doc_id").isNull().alias("a"), F.col("doc_id").alias("b"), F.col("hash").alias("c"))
     chosen = grouped(df, id_col, text_col, n_words, radius).groupBy("label").agg(F.min(order).alias("f"))
-    keys = storage.settle(chosen.select(F.xxhash64("f.b", "f.c").alias("__key")), "simhash-kept")
-    text = F.col(text_col).cast("string")
-    keyed = df.withColumn("__key", F.xxhash64(F.col(id_col).cast("long"), F.xxhash64(text)))
-    return keyed.join(keys.hint("merge"), "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
+    return storage.rows_of(df, id_col, text_col, chosen.select(F.col("f.b").alias("id"), F.col("f.c").alias("hash")))
