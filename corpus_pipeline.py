@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import language, line_dedup, packing, shingles, storage, substring_dedup
+from quillspark.llm import language, line_dedup, packing, similar, storage, substring_dedup
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of each group linked by a similarity of 0.8 or more of five-word shingles."""
-    return shingles.keep_first(docs)
+    return similar.keep_first(docs)
 
 
 def drop_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
