@@ -96,6 +96,12 @@ def truncate_words(c: Column, most: int) -> Column:
     return F.when(F.char_length(c) <= most, c).otherwise(F.concat(F.regexp_replace(at, "[,;: ]+$", ""), F.lit("…")))
 
 
+def summary(c: Column, most: int) -> Column:
+    """``truncate_words`` of the collapsed text, without collapsing more of it than shows."""
+    head = F.regexp_extract(c, f"(?s)^[{SPACE}]*+((?:[^{SPACE}]|[{SPACE}]++(?=[^{SPACE}])){{0,{most + 2}}}+)", 1)
+    return truncate_words(collapse_whitespace(head), most)
+
+
 def echo(c: Column, most: int) -> Column:
     """A query or title repeated in a message: one clean line of bounded length."""
     line = sanitize_line(c)

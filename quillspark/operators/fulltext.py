@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,14 +15,23 @@ FIELD_WEIGHTS = {"title": 4.0, "alt_titles": 3.0, "body": 1.0}
 K1, B = 1.2, 0.75
 
 
-def postings(docs: DataFrame, fields: tuple[str, ...] = ("title", "alt_titles", "body"), stem: bool = False) -> DataFrame:
-    """``(term, field, entry, tf, len)`` of ``docs (entry, *fields)``; len counts the field's terms."""
-    def words(c: str) -> Column:
-        found = text.terms(F.coalesce(c, F.lit("")))
-        return stem_all(found) if stem else found
+FIELDS = tuple(FIELD_WEIGHTS)
 
-    by_field = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), words(f).alias("words")) for f in fields]))
-    rows = docs.select("entry", by_field.alias("f")).select("entry", "f.field", F.size("f.words").alias("len"), F.explode("f.words").alias("term"))
+
+def _words(field: str, stem: bool) -> Column:
+    found = text.terms(F.coalesce(field, F.lit("")))
+    return stem_all(found) if stem else found
+
+
+def postings(docs: DataFrame, fields: tuple[str, ...] = FIELDS, stem: bool = False, only: list[str] | None = None) -> DataFrame:
+    """``(term, field, entry, tf, len)`` of ``docs (entry, *fields)``; len counts the field's terms.
+
+    With ``only``, postings of these terms alone: other words are dropped before they become rows.
+    """
+    by_field = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), _words(f, stem).alias("words")) for f in fields]))
+    rows = docs.select("entry", by_field.alias("f"))
+    kept = F.col("f.words") if only is None else F.filter("f.words", lambda w: w.isin(only))
+    rows = rows.select("entry", "f.field", F.size("f.words").alias("len"), F.explode(kept).alias("term"))
     return rows.groupBy("term", "field", "entry", "len").agg(F.count("*").alias("tf")).select("term", "field", "entry", "tf", "len")
 
 
@@ -32,6 +41,27 @@ def field_stats(posted: DataFrame, docs: DataFrame) -> DataFrame:
     return lengths.crossJoin(F.broadcast(docs.agg(F.count("*").alias("n_docs")))).select("field", (F.col("total") / F.col("n_docs")).alias("avg_len"), "n_docs")
 
 
+def lengths(docs: DataFrame, fields: tuple[str, ...] = FIELDS, stem: bool = False) -> DataFrame:
+    """``field_stats`` from the documents themselves, in one pass that exchanges a row a task."""
+    sums = docs.agg(F.count("*").alias("n_docs"), *[F.sum(F.size(_words(f, stem))).alias(f) for f in fields])
+    each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("total")) for f in fields])).alias("s")
+    return sums.select("n_docs", each).select("s.field", (F.col("s.total") / F.col("n_docs")).alias("avg_len"), "n_docs").where("avg_len > 0")
+
+
+def term_statistics(docs: DataFrame, field: str = "body") -> DataFrame:
+    """``(term, df, cf)``: documents and occurrences of each term, summed in each task before the exchange."""
+    words = _words(field, False)
+    seen = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("cf")))
+    met = F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("cf")))
+    return docs.select(F.inline(F.concat(seen, met))).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
+def query_terms(spark: SparkSession, query: str, stem: bool = False) -> list[str]:
+    """The terms that ``search`` looks for."""
+    found = text.terms(text.clean_query(F.lit(query)))
+    return spark.range(1).select((stem_all(found) if stem else found).alias("w")).first()["w"]
+
+
 def bm25(posted: DataFrame, stats: DataFrame, words: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """``(entry, matched, score)``: documents with any of ``words (term)``, distinct words matched, weighted BM25."""
     weights = weights or FIELD_WEIGHTS

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .operators import catalog, document, fulltext, graph, sections, titles
+from .operators.lineage import settled
 from .plans import build
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -141,7 +142,7 @@ WITH {TITLES}, q AS (SELECT DISTINCT left(norm, 3) AS prefix FROM t), h AS (
 SELECT prefix, CAST(rank AS INTEGER) AS rank, target, title, score, exact FROM h WHERE rank <= 10
 """)
 def suggest_batch(spark, sf_dir):
-    known = part_titles(spark, sf_dir)
+    known = settled(part_titles(spark, sf_dir))
     return titles.suggest_many(known, known.select(F.left("norm", F.lit(3)).alias("prefix")).distinct(), 10)
 
 
@@ -271,10 +272,10 @@ def _text_docs(spark, sf_dir):
 
 def _bm25(spark, sf_dir, asked):
     docs = _text_docs(spark, sf_dir)
-    posted = fulltext.postings(docs)
+    posted = fulltext.postings(docs, only=fulltext.query_terms(spark, asked))
     inbound = table(spark, sf_dir, "lineitem").where("l_orderkey <> l_partkey").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
     linked = graph.inbound_links(inbound, docs.select(F.col("entry").alias("node")))
-    return fulltext.search(posted, fulltext.field_stats(posted, docs), linked, asked, 10).select("entry", F.round("score", 6).alias("score"))
+    return fulltext.search(posted, fulltext.lengths(docs), linked, asked, 10).select("entry", F.round("score", 6).alias("score"))
 
 
 def _bm25_sql(words: list[str], everything: bool) -> str:
@@ -314,7 +315,7 @@ FROM s
 """)
 def summary_truncate(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", text.truncate_words(text.collapse_whitespace(F.col("text")), 280).alias("summary"))
+    return docs.select("doc_id", text.summary(F.col("text"), 280).alias("summary"))
 
 
 @query(f"""
@@ -574,9 +575,9 @@ def page_links(spark, sf_dir):
 def stemmed_search(spark, sf_dir):
     """Search over stems: other forms of the words count too."""
     docs = _text_docs(spark, sf_dir)
-    posted = fulltext.postings(docs, stem=True)
+    posted = fulltext.postings(docs, stem=True, only=fulltext.query_terms(spark, "being others", stem=True))
     none = spark.createDataFrame([], "node long, inbound long")
-    return fulltext.search(posted, fulltext.field_stats(posted, docs), none, "being others", 10, stem=True)
+    return fulltext.search(posted, fulltext.lengths(docs), none, "being others", 10, stem=True)
 
 
 @query("SELECT p_partkey AS entry FROM part ORDER BY 1 LIMIT 1 OFFSET (SELECT CAST('16294208416658607535'::UHUGEINT % count(*)::UHUGEINT AS BIGINT) FROM part)")
@@ -622,7 +623,7 @@ SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM p GROUP BY 1
 def posting_statistics(spark, sf_dir):
     """Documents and occurrences of each term."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entry"), F.col("text").alias("body"))
-    return fulltext.postings(docs, ("body",)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    return fulltext.term_statistics(docs)
 
 
 @query("""
