@@ -3,24 +3,29 @@ import numpy as np
 from quillspark.llm import line_dedup
 
 
+def shared_runs(own, others, min_chars):
+    """Positions of ``own`` in any run of ``min_chars`` characters that one of ``others`` holds, by trying every run."""
+    gone = set()
+    for other in others:
+        for a in range(len(own)):
+            for b in range(a + 1, len(own) + 1):
+                if sum(map(len, own[a:b])) >= min_chars and any(other[c : c + b - a] == own[a:b] for c in range(len(other) - (b - a) + 1)):
+                    gone |= set(range(a, b))
+    return sorted(gone)
+
+
 def brute(rows, min_chars=50):
-    """Document by document, without hashes or tables; rows have distinct (id, text)."""
-    import xxhash
-
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, 0))
-    lines = [[x.strip(" ") or None for x in (t or "").split("\n")] for _, t in order]
-    first = {}
-    for n, held in enumerate(lines):
-        for x in held:
-            first.setdefault(x, n)
+    """Each document against all earlier ones, run by run, without hashes, keys or the code under test."""
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    lines = [[x.strip(" ") for x in (t or "").split("\n")] for _, t in order]
     out = []
     for n, (i, t) in enumerate(order):
         if t is None:
             out.append((i, None))
             continue
-        gone = set()
-        for partner in {first[x] for x in lines[n] if x is not None} - {n}:
-            gone |= set(line_dedup.common_lines(lines[n], [len(x or "") for x in lines[n]], lines[partner], min_chars))
+        held = set(lines[n]) - {""}
+        others = list({tuple(x): x for x in lines[:n] if held & set(x)}.values())
+        gone = set(shared_runs(lines[n], others, min_chars))
         out.append((i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone)))
     return out
 
@@ -43,7 +48,7 @@ def test_against_brute_force(spark):
     r = np.random.default_rng(4)
     pool = [f"line {i} " + "word " * int(r.integers(1, 12)) for i in range(60)]
     rows = [(i, "\n".join(pool[int(j)] if r.random() < 0.5 else f"own {i} {k} text that nobody else has" for k, j in enumerate(r.integers(0, 60, int(r.integers(1, 14)))))) for i in range(120)]
-    rows += [(200 + i, rows[3][1]) for i in range(60)] + [(300, None), (301, ""), (302, "\n\n"), (None, rows[5][1]), (303, "  " + pool[0] + "\n" + pool[1]), (304, "\n".join(pool) * 40)]
+    rows += [(200 + i, rows[3][1]) for i in range(60)] + [(300, None), (301, ""), (302, "\n\n"), (None, rows[5][1]), (303, "  " + pool[0] + "\n" + pool[1]), (304, "\n".join(pool) * 2)]
     df = spark.createDataFrame([(i, t, 1, "k") for i, t in rows], "doc_id long, text string, n_lines int, key string")
     got = line_dedup.dedup_lines(df)
     assert set(got.columns) == {"doc_id", "text", "key", "n_lines", "n_removed"}
@@ -54,17 +59,6 @@ def test_against_brute_force(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
-def shared_runs(own, others, min_chars):
-    """Positions of ``own`` in any run of ``min_chars`` characters that one of ``others`` holds, by trying every run."""
-    gone = set()
-    for other in others:
-        for a in range(len(own)):
-            for b in range(a + 1, len(own) + 1):
-                if sum(map(len, own[a:b])) >= min_chars and any(other[c : c + b - a] == own[a:b] for c in range(len(other) - (b - a) + 1)):
-                    gone |= set(range(a, b))
-    return sorted(gone)
-
-
 def test_repeated_and_moved_passages_go():
     common = lambda own, other, least: line_dedup.common_lines([x or None for x in own], list(map(len, own)), [x or None for x in other], least)
     assert common(["a", "P" * 9, "b"], ["c", "P" * 9, "x", "P" * 9, "d"], 9) == [1]
@@ -78,14 +72,6 @@ def test_repeated_and_moved_passages_go():
     assert common([*[""] * 50_000, "P" * 9, *[""] * 50_000], ["P" * 9, ""], 9) == [50_000, 50_001]
 
 
-def whole(rows, min_chars=50):
-    """Each document against all earlier ones, run by run."""
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
-    lines = [[x.strip(" ") for x in t.split("\n")] for _, t in order]
-    gone = [set(shared_runs(own, lines[:n], min_chars)) for n, own in enumerate(lines)]
-    return [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if k not in g)) for (i, t), g in zip(order, gone, strict=True)]
-
-
 def test_blocks_of_any_earlier_document_go(spark):
     short, p, q = [f"short line {c} of thirty letters" for c in "abc"], "passage P " * 6, "passage Q " * 6
     texts = ["\n".join([short[0], "x1"]), "\n".join([short[1], "x2"]), "\n".join([short[2], "x3"]), "\n".join(["own 3", *short]), "\n".join(["own 4", *short, "more"])]
@@ -95,6 +81,25 @@ def test_blocks_of_any_earlier_document_go(spark):
     texts += ["\n".join(pool[int(i)] if r.random() < 0.7 else f"own {n} {k}" for k, i in enumerate(r.integers(0, len(pool), int(r.integers(1, 14))))) for n in range(150)]
     rows = [*enumerate(texts), (None, texts[20])]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
-    want = dict(whole(rows))
+    want = dict(brute(rows))
     assert want[4] == "own 4\nmore" and want[7] == "own 7" and want[8] == "own 8\n"
     assert {x.doc_id: x.text for x in got.collect()} == want
+
+
+def test_rarity_changes_the_way_not_the_result(spark):
+    r = np.random.default_rng(12)
+    pool = ["", *(f"{n} " + "word " * int(r.integers(1, 11)) for n in range(40))]
+    texts = ["\n".join(pool[int(r.integers(0, 41) ** 2 / 41)] if r.random() < 0.8 else f"own {n} {k}" for k in range(int(r.integers(1, 12)))) for n in range(120)]
+    texts += ["A " * 12 + "\nB", "C\n" + "D " * 14, "A " * 12 + "\n" + "D " * 14, "A " * 12 + "\n" + "D " * 14 + "\nown"]
+    rows = [*enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert dict(want)[123] == "own"
+    for rare in (0, 2, 8, 1000):
+        assert sorted((x.doc_id, x.text) for x in line_dedup.dedup_lines(df, rare=rare).collect()) == want
+
+
+def test_both_sides_of_the_least_length(spark):
+    texts = ["x" * 49 + "\nfirst", "x" * 49 + "\nsecond", "y" * 50 + "\nthird", "y" * 50 + "\nfourth", "short", "short"]
+    got = {x.doc_id: x.text for x in line_dedup.dedup_lines(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")).collect()}
+    assert got == {i: t for i, t in enumerate(texts)} | {3: "fourth"}
