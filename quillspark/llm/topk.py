@@ -165,24 +165,41 @@ def _index(ids: np.ndarray, values: np.ndarray) -> SlicedBlock:
     return SlicedBlock(ids, values.astype(small))
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, block_rows: int = 1 << 14, block_queries: int = 1 << 10) -> DataFrame:
-    """For each of ``queries``, the k rows with the highest integer inner product."""
+#: Blocks of the index in one task, about.
+BLOCKS_HELD = 4
+
+
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 256.0, block_rows: int | None = None, block_queries: int = 1 << 10) -> DataFrame:
+    """For each of ``queries``, the k rows with the highest integer inner product.
+
+    A task holds a few blocks of the index (``block_rows`` rows each; by default as many as
+    give every partition a block, 1,024 to 16,384) and all blocks of queries pass by it.
+    """
     def pick(df: DataFrame) -> DataFrame:
         return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
 
     spark = rows.sparkSession
+    shards = storage.shards(spark)
+    block_rows = block_rows or min(1 << 14, max(1 << 10, -(-rows.count() // shards)))
     index = storage.settle(_blocks(pick(rows), scale, block_rows, _index), "topk-index")
     asked = storage.settle(_blocks(pick(queries), scale, block_queries, lambda i, v: (i, v)), "topk-queries")
-    met = index.repartition(storage.shards(spark)).crossJoin(asked.withColumnRenamed("block", "asked"))
+    parts = max(shards, -(-index.count() // BLOCKS_HELD))
+    held = index.select(F.pmod(F.xxhash64("block"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("kind"), "block")
+    passing = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("kind"), "block")
+    met = held.union(passing).repartitionById(parts, F.col("part")).sortWithinPartitions("kind")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: list[SlicedBlock] = []
         for batch in batches:
-            for block, some in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                block, (ids, vectors) = pickle.loads(block), pickle.loads(some)
-                if vectors.shape[1] != block.values.shape[1]:
-                    continue
-                found = [(i, *block.best(i, v, k)) for i, v in zip(ids.tolist(), vectors, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in ([np.full(len(r), i) for i, r, _ in found], [r for _, r, _ in found], [s for *_, s in found])], ["query_id", "vec_id", "score"])
+            for kind, raw in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if not kind:
+                    blocks.append(pickle.loads(raw.as_py()))
+                elif blocks:
+                    ids, vectors = pickle.loads(raw.as_py())
+                    for block in blocks:
+                        if vectors.shape[1] == block.values.shape[1]:
+                            found = [(i, *block.best(i, v, k)) for i, v in zip(ids.tolist(), vectors, strict=True)]
+                            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in ([np.full(len(r), i) for i, r, _ in found], [r for _, r, _ in found], [s for *_, s in found])], ["query_id", "vec_id", "score"])
 
     near = met.mapInArrow(storage.tidy(meet), "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
