@@ -387,7 +387,14 @@ def invert_palette(argb: np.ndarray, table: np.ndarray, width: int, pack: int) -
 
 
 def decode_stream(data: bytes) -> np.ndarray:
-    """(height, width) ARGB words of a VP8L stream."""
+    """(height, width) ARGB words of a VP8L stream; ``ValueError`` if it is damaged."""
+    try:
+        return _decoded(data)
+    except (IndexError, OverflowError, struct.error) as e:
+        raise ValueError("a damaged stream") from e
+
+
+def _decoded(data: bytes) -> np.ndarray:
     bits = Bits(data)
     if bits.read(8) != 0x2F:
         raise ValueError("no lossless stream")
@@ -433,6 +440,8 @@ def files(data: bytes) -> Iterator[bytes]:
     """The VP8L streams of one or more WebP files that follow each other."""
     at = 0
     while at < len(data):
+        if len(data) - at < 20:
+            raise ValueError("no lossless WebP file")
         riff, size, form, kind, length = struct.unpack_from("<4sI4s4sI", data, at)
         if riff != b"RIFF" or form != b"WEBP" or kind != b"VP8L" or at + 20 + length > len(data):
             raise ValueError("no lossless WebP file")
@@ -442,7 +451,10 @@ def files(data: bytes) -> Iterator[bytes]:
 
 def decode(data: bytes) -> np.ndarray:
     """(height, width, 4) pixels of a lossless WebP file, as red, green, blue, alpha."""
-    pixels = decode_stream(next(files(data)))
+    stream = next(files(data), None)
+    if stream is None:
+        raise ValueError("an empty file")
+    pixels = decode_stream(stream)
     return pixels.view(np.uint8).reshape(*pixels.shape, 4)[..., [2, 1, 0, 3]]
 
 
