@@ -146,15 +146,22 @@ def identify(df: DataFrame, profiles: Profiles, id_col: str = "doc_id", text_col
 
 
 def keep_known(df: DataFrame, profiles: Profiles, text_col: str = "text", least: float = 0.1) -> DataFrame:
-    """Rows of ``df``, all columns, whose text has a language with a score of ``least`` or more."""
+    """Rows of ``df``, all columns, whose text has a language with a score of ``least`` or more.
+
+    If nothing was learned, no text has a language, and rows with a letter stay.
+    """
     at = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, 512):
                 part = batch.slice(first, 512)
-                found = [profiles.predict(t) for t in storage.texts_of(part.column(at))]
-                yield part.filter(pa.array([name != UNKNOWN and score >= least for name, score in found], pa.bool_()))
+                texts = storage.texts_of(part.column(at))
+                if profiles.names:
+                    kept = [name != UNKNOWN and score >= least for name, score in map(profiles.predict, texts)]
+                else:
+                    kept = [len(grams(t)) > 0 for t in texts]
+                yield part.filter(pa.array(kept, pa.bool_()))
 
     return df.mapInArrow(storage.tidy(run), df.schema)
 

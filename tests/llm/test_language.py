@@ -42,6 +42,32 @@ def test_cases(spark):
     assert {r.lang_pred for r in language.identify(df, nothing).collect()} == {"und"}
 
 
+def test_prediction_equals_plain_version(spark):
+    """Prototypes, cosines, scores and ties, letter by letter; two languages share one text."""
+    r = np.random.default_rng(2)
+    parts = {"xa": ["tha", "ing", "ou"], "xb": ["der", "sch", "ein"], "xc": ["que", "ée", "la"]}
+    rows = [(n, " ".join("".join(r.choice(p, int(r.integers(1, 4)))) for _ in range(12)), lang) for n, (lang, p) in enumerate([*parts.items()] * 4)]
+    rows += [(100, "Twin text", "zb"), (101, "Twin text", "za"), (102, "twin", None), (103, "…!", None), (104, None, None), (105, "Unlike anything", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = language.learn(df, dimensions=128, seed=5)
+    sums = {}
+    for _, text, lang in rows:
+        if lang:
+            sums[lang] = sums.get(lang, 0) + plain_vector(text, 128, 5)
+    got = {x.doc_id: (x.lang_pred, x.score) for x in language.identify(df, profiles).collect()}
+    for i, text, _ in rows:
+        own = plain_vector(text or "", 128, 5)
+        if not own.any():
+            assert got[i] == ("und", 0.0)
+            continue
+        cosines = {k: float(v @ own) / (float(v @ v) ** 0.5 * float(own @ own) ** 0.5) for k, v in sums.items()}
+        best = max(sorted(cosines), key=lambda k: round(cosines[k], 9))
+        assert got[i][0] == best and abs(got[i][1] - min(1, max(0, cosines[best]))) < 1e-9
+    assert got[102][0] == got[100][0] == "za"
+    nothing = language.learn(df.limit(0))
+    assert sorted(x.doc_id for x in language.keep_known(df, nothing).collect()) == sorted(i for i, t, _ in rows if any(c.isalpha() for c in t or ""))
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     truth = {r.doc_id: r.lang for r in docs.collect()}

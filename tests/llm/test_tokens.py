@@ -98,6 +98,57 @@ def test_assignment_is_balanced():
     assert len(pieces) < 1.6 * len(lengths)
 
 
+def plain_assignment(lengths, length=4096, quadratic=1 / 4096):
+    """The rule in words: full sequences first, then the longest rest to the cheapest sequence with room for it, else cut over the cheapest."""
+    full = [n // length for n in lengths]
+    rest = [n % length for n in lengths]
+    total = sum(rest)
+    room = [length] * (total // length) + [1 << b for b in range(20, -1, -1) if total % length >> b & 1]
+    cost, pieces = [0.0] * len(room), {}
+    for i in sorted(range(len(lengths)), key=lambda i: -rest[i]):
+        whole = [s for s in range(len(room)) if room[s] >= rest[i]]
+        while rest[i]:
+            fits = whole or [s for s in range(len(room)) if room[s]]
+            s = min(fits, key=lambda s: (cost[s], s))
+            n = min(rest[i], room[s])
+            pieces.setdefault(i, []).append((n, sum(full) + s))
+            room[s], cost[s], rest[i] = room[s] - n, cost[s] + n + quadratic * n * n, rest[i] - n
+    return full, pieces
+
+
+def test_assignment_equals_the_rule():
+    for seed in range(5):
+        lengths = np.random.default_rng(seed).integers(1, [300, 3000, 9000, 5, 4097][seed], 150).tolist()
+        full, want = plain_assignment(lengths)
+        got, whole = {}, [0] * len(lengths)
+        for i, _, n, s, _ in packing.assign(lengths):
+            if s < sum(full):
+                whole[i] += 1
+            else:
+                got.setdefault(i, []).append((n, s))
+        assert whole == full and got == want
+
+
+def test_balance():
+    """Costs of full sequences lie close together, closer than if documents are packed in their order."""
+    lengths = np.random.default_rng(8).integers(20, 900, 2000).tolist()
+    cost = lambda pieces: np.array([sum(n + n * n / 4096 for n in p) for p in pieces])
+    by_sequence = {}
+    for _, _, n, s, _ in packing.assign(lengths):
+        by_sequence.setdefault(s, []).append(n)
+    own = cost([p for p in by_sequence.values() if sum(p) == 4096])
+    in_order, rest = [[]], 4096
+    for n in lengths:
+        while n:
+            part = min(n, rest)
+            in_order[-1].append(part)
+            n, rest = n - part, rest - part
+            if not rest:
+                in_order.append([])
+                rest = 4096
+    assert own.std() < 0.6 * cost(in_order[:-1]).std()
+
+
 def test_decomposed_capitals_are_composed_first():
     for text in ("J\u030cohn", "T\u0308om met J\u030cOHN, Tom and JOHN", "plain J\u030cohn <|x"):
         assert next(WordIds(tokenizer_path()).documents(pa.array([text]))) == b"".join(x.to_bytes(4, "little") for x in truth(text))
