@@ -1,7 +1,7 @@
 """Sections and links of documents: subtrees, breadcrumbs, look-ups, numbering, pages.
 
 Tables: ``sections (doc, pos, level, heading, anchor, ...)`` and ``links (doc, pos, ...)``.
-What needs all sections of one document works on an array of them, bounded by the document.
+What needs all sections of one document takes windows over it that cost one pass a level.
 """
 
 from __future__ import annotations
@@ -11,54 +11,61 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def section_arrays(sections: DataFrame, *extra: str) -> DataFrame:
-    """``(doc, secs)`` with ``secs`` in order of position."""
-    part = F.struct("pos", "level", "heading", *extra)
-    return sections.groupBy("doc").agg(F.array_sort(F.collect_list(part)).alias("secs"))
+#: Fixed value: levels of headings are 1 to 6.
+LEVELS = 6
 
 
-def _exploded(df: DataFrame, computed: Column) -> DataFrame:
-    return df.select("doc", F.explode(computed).alias("s")).select("doc", "s.*")
+def _before(*by) -> Window:
+    """All rows of a document before this one, in an order: frames that grow with it cost one pass."""
+    return Window.partitionBy("doc").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def with_subtrees(sections: DataFrame, *summed: str) -> DataFrame:
+    """``sections`` with ``stop``, the position of the next section of the same or a higher rank (null at the end).
+
+    For each column in ``summed`` there is also its sum over a section and all below it, as
+    ``<column>_below``. Windows over the document, a running one for each level.
+    """
+    own = Window.partitionBy("doc")
+    upto = own.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = sections.withColumns({f"_{c}_before": F.sum(c).over(upto) - F.col(c) for c in summed} | {f"_{c}_all": F.sum(c).over(own) for c in summed})
+    here = F.struct("pos", *[f"_{c}_before" for c in summed])
+    later = _before(F.desc("pos"))
+    nexts = F.array(*[F.last(F.when(F.col("level") <= level, here), ignorenulls=True).over(later) for level in range(1, LEVELS + 1)])
+    marked = marked.withColumn("_next", F.get(nexts, F.col("level").cast("int") - 1)).withColumn("stop", F.col("_next.pos"))
+    below = {f"{c}_below": F.coalesce(F.col(f"_next._{c}_before"), F.col(f"_{c}_all")) - F.col(f"_{c}_before") for c in summed}
+    return marked.withColumns(below).drop("_next", *[f"_{c}_{x}" for c in summed for x in ("before", "all")])
 
 
 def subtree_ends(sections: DataFrame) -> DataFrame:
     """``(doc, pos, stop)``: position of the next section of the same or a higher rank, null at the end."""
-    secs = F.col("secs")
-    stop = lambda s: F.array_min(F.transform(F.filter(secs, lambda t: (t["pos"] > s["pos"]) & (t["level"] <= s["level"])), lambda t: t["pos"]))
-    return _exploded(section_arrays(sections), F.transform(secs, lambda s: F.struct(s["pos"].alias("pos"), stop(s).alias("stop"))))
+    return with_subtrees(sections).select("doc", "pos", "stop")
 
 
 def breadcrumbs(sections: DataFrame) -> DataFrame:
-    """``(doc, pos, path)``: headings of the sections above, outermost first, the lead left out."""
-    secs = F.col("secs")
-
-    def above(s: Column) -> Column:
-        before = F.reverse(F.filter(secs, lambda t: t["pos"] < s["pos"]))
-        start = F.struct(s["level"].cast("int").alias("level"), F.array().cast("array<string>").alias("path"))
-        climb = lambda a, t: F.when((t["level"] < a["level"]) & (t["level"] > 1), F.struct(t["level"].cast("int").alias("level"), F.concat(F.array(t["heading"]), a["path"]).alias("path"))).otherwise(a)
-        return F.aggregate(before, start, climb, lambda a: a["path"])
+    """``(doc, pos, path)``: headings of the sections above, outermost first, the lead left out.
 
-    return _exploded(section_arrays(sections), F.transform(secs, lambda s: F.struct(s["pos"].alias("pos"), F.array_join(above(s), " > ").alias("path"))))
+    The last heading of a level before a section stands above it if the level is higher than
+    the section's and no heading of a still higher level (but the lead's) came after it.
+    """
+    levels = range(2, LEVELS + 1)
+    last = {f"_{n}": F.last(F.when(F.col("level") == n, F.struct("pos", "heading")), ignorenulls=True).over(_before("pos")) for n in levels}
+    stands = lambda n: (F.col("level") > n) & (F.col(f"_{n}.pos") > F.greatest(F.lit(-1), F.lit(-1), *[F.coalesce(f"_{m}.pos", F.lit(-1)) for m in range(2, n)]))
+    path = F.array_compact(F.array(*[F.when(stands(n), F.col(f"_{n}.heading")) for n in levels]))
+    return sections.select("doc", "pos", "level", "heading").withColumns(last).select("doc", "pos", F.array_join(path, " > ").alias("path"))
 
 
 def prune_empty(sections: DataFrame) -> DataFrame:
     """``sections`` with ``blocks`` (a count): the lead, those with blocks, those with a section below that has some."""
-    secs = F.col("secs")
-    ends = F.transform(secs, lambda s: F.struct(s["pos"].alias("pos"), s["level"].alias("level"), s["heading"].alias("heading"), s["blocks"].alias("blocks"), F.array_min(F.transform(F.filter(secs, lambda t: (t["pos"] > s["pos"]) & (t["level"] <= s["level"])), lambda t: t["pos"])).alias("stop")))
-    first = F.array_min(F.transform(secs, lambda s: s["pos"]))
-    below = lambda s: F.exists(secs, lambda t: (t["pos"] > s["pos"]) & (s["stop"].isNull() | (t["pos"] < s["stop"])) & (t["blocks"] > 0))
-    kept = F.filter(ends, lambda s: (s["pos"] == first) | (s["blocks"] > 0) | below(s))
-    return _exploded(section_arrays(sections, "blocks"), kept).drop("stop")
+    first = F.min("pos").over(Window.partitionBy("doc"))
+    marked = with_subtrees(sections.select("doc", "pos", "level", "heading", "blocks"), "blocks").withColumn("_first", first)
+    return marked.where((F.col("pos") == F.col("_first")) | (F.col("blocks_below") > 0)).select("doc", "pos", "level", "heading", "blocks")
 
 
 def subtree_sizes(sections: DataFrame) -> DataFrame:
     """``(doc, pos, own, whole)``: characters of a section, and with all that is below it, its own heading not counted."""
-    secs = F.col("secs")
-    stop = lambda s: F.array_min(F.transform(F.filter(secs, lambda t: (t["pos"] > s["pos"]) & (t["level"] <= s["level"])), lambda t: t["pos"]))
-    inside = lambda s: F.filter(secs, lambda t: (t["pos"] >= s["pos"]) & (stop(s).isNull() | (t["pos"] < stop(s))))
-    total = lambda s: F.aggregate(inside(s), F.lit(0).cast("bigint"), lambda a, t: a + t["size"])
-    head = lambda s: F.char_length(s["heading"]) + 1
-    return _exploded(section_arrays(sections, "size"), F.transform(secs, lambda s: F.struct(s["pos"].alias("pos"), (s["size"] - head(s)).alias("own"), (total(s) - head(s)).alias("whole"))))
+    head = F.char_length("heading") + 1
+    return with_subtrees(sections, "size").select("doc", "pos", (F.col("size") - head).alias("own"), (F.col("size_below") - head).alias("whole"))
 
 
 def outline(sections: DataFrame) -> DataFrame:
