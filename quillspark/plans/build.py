@@ -107,13 +107,12 @@ def build_index(spark: SparkSession, entries: DataFrame, out: str, front: DataFr
 
 def build_archive(spark: SparkSession, path: str, out: str, any_producer: bool = False, stem: bool = False) -> dict:
     """The index of one archive file."""
-    from ..sources.archive import Archive, register
+    from ..sources.archive import Archive, read_archive
 
-    register(spark)
     archive = Archive(path)
     scraper, name = archive.metadata("Scraper"), archive.metadata("Name") or ""
-    front = spark.createDataFrame([(i,) for i in archive.front_articles()], "entry long")
-    entries = spark.read.format("archive").option("namespace", archive.article_namespace).load(path)
+    entries = settled(read_archive(spark, path, archive.article_namespace))
+    front = spark.read.format("archive").option("table", "front").load(path)
     return build_index(spark, entries.drop("cluster", "blob", "raw_title", "namespace"), out, front, scraper, name, any_producer, stem, {"uuid": archive.uuid.hex(), "source_bytes": archive.size, "title": archive.metadata("Title")})
 
 

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 # Fixed values of the format.
@@ -209,21 +209,29 @@ class Archive:
         """Entries by title, from the old list."""
         return None if self.titles_at is None else [x for (x,) in struct.iter_unpack("<I", self.read(self.titles_at, 4 * self.entry_count))]
 
-    def front_articles(self) -> list[int]:
+    def front_count(self) -> int:
+        """Length of the list that names front articles; old lists name other entries too."""
         i = self.find("X", LISTING)
         if i is not None:
-            data = self.content(i)
-            if len(data) % 4:
+            size = len(self.content(i))
+            if size % 4:
                 raise DamagedArchive("bad title listing")
-            found = [x for (x,) in struct.iter_unpack("<I", data)]
+            return size // 4
+        if self.titles_at is None:
+            raise DamagedArchive("no title listing")
+        return self.entry_count
+
+    def front_articles(self, first: int = 0, stop: int | None = None) -> list[int]:
+        """Front articles among places ``first`` to ``stop`` of the list."""
+        stop = self.front_count() if stop is None else stop
+        i = self.find("X", LISTING)
+        if i is not None:
+            found = [x for (x,) in struct.iter_unpack("<I", self.content(i)[4 * first : 4 * stop])]
             if any(x >= self.entry_count for x in found):
                 raise DamagedArchive("the title listing names unknown entries")
             return found
-        found = self.titles()
-        if found is None:
-            raise DamagedArchive("no title listing")
         kept = []
-        for i in found:
+        for (i,) in struct.iter_unpack("<I", self.read(self.titles_at + 4 * first, 4 * (stop - first))):
             e = self.entry(i)
             if e.namespace == self.article_namespace and (not self.new_namespaces or e.kind == "redirect" or e.mime == "text/html"):
                 kept.append(i)
@@ -242,6 +250,12 @@ class Archive:
 
 
 SCHEMA = "entry long, namespace string, path string, raw_title string, title string, kind string, mime string, cluster long, blob long, redirect_target long, content binary"
+#: What the source can be asked for by its option ``table``; a share reads a range of entries, clusters or list places.
+TABLES = {
+    "directory": SCHEMA.removesuffix(", content binary"),
+    "contents": "cluster long, blob long, content binary",
+    "front": "entry long",
+}
 
 
 @dataclass
@@ -249,32 +263,37 @@ class Share(InputPartition):
     path: str
     first: int
     stop: int
-    rest: bool
 
 
 class Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"]
+        self.table = options.get("table", "directory")
+        self.namespace = options.get("namespace")  # narrows the directory to a range
         self.clusters = int(options.get("clustersPerPartition", 64))
-        self.namespace = options.get("namespace")  # narrows the directory scan to a range
-        self.with_content = options.get("content", "true").lower() == "true"
+        self.entries = int(options.get("entriesPerPartition", 1 << 17))
 
     def partitions(self) -> list[Share]:
-        n = Archive(self.path).cluster_count
-        return [Share(self.path, a, min(a + self.clusters, n), not a) for a in range(0, n, self.clusters)] or [Share(self.path, 0, 0, True)]
+        archive = Archive(self.path)
+        if self.table == "contents":
+            whole, step = range(archive.cluster_count), self.clusters
+        elif self.table == "front":
+            whole, step = range(archive.front_count()), self.entries
+        else:
+            whole, step = archive.namespace_range(self.namespace) if self.namespace else range(archive.entry_count), self.entries
+        return [Share(self.path, a, min(a + step, whole.stop)) for a in range(whole.start, whole.stop, step)] or [Share(self.path, 0, 0)]
 
     def read(self, partition: Share) -> Iterator[tuple]:
-        """Entries whose content lies in the share's clusters, by cluster and blob; one share also has those without content."""
+        """Rows of a share: no entry is read by two shares, and no cluster is unpacked twice."""
         archive = Archive(partition.path)
-        entries = archive.namespace_range(self.namespace) if self.namespace else range(archive.entry_count)
-        mine = []
-        for i in entries:
-            e = archive.entry(i)
-            if partition.first <= e.cluster < partition.stop if e.kind == "content" else partition.rest:
-                mine.append(e)
-        for e in sorted(mine, key=lambda e: (-1 if e.cluster is None else e.cluster, e.blob or 0, e.entry)):
-            content = archive.content(e.entry) if self.with_content and e.kind == "content" else None
-            yield (e.entry, e.namespace, e.path, e.raw_title, e.title, e.kind, e.mime, e.cluster, e.blob, e.redirect_target, content)
+        if self.table == "front":
+            yield from ((i,) for i in archive.front_articles(partition.first, partition.stop))
+        elif self.table == "contents":
+            for c in range(partition.first, partition.stop):
+                yield from ((c, b, content) for b, content in enumerate(archive.cluster(c)))
+        else:
+            for e in map(archive.entry, range(partition.first, partition.stop)):
+                yield e.entry, e.namespace, e.path, e.raw_title, e.title, e.kind, e.mime, e.cluster, e.blob, e.redirect_target
 
 
 class ArchiveSource(DataSource):
@@ -283,12 +302,24 @@ class ArchiveSource(DataSource):
         return "archive"
 
     def schema(self) -> str:
-        return SCHEMA
+        return TABLES[self.options.get("table", "directory")]
 
     def reader(self, schema) -> Reader:
         return Reader(self.options)
 
 
+def read_archive(spark: SparkSession, path: str, namespace: str | None = None, **options) -> DataFrame:
+    """The entries of an archive with their contents (null where an entry has none).
+
+    The directory is read in ranges of entries and the contents in ranges of clusters, each
+    once; they meet by cluster and place.
+    """
+    register(spark)
+    read = lambda table, **more: spark.read.format("archive").options(table=table, **more, **options).load(path)
+    listed = read("directory", **({"namespace": namespace} if namespace else {}))
+    return listed.join(read("contents"), ["cluster", "blob"], "left").select(*(x.split()[0] for x in SCHEMA.split(", ")))
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(ArchiveSource)
 

@@ -63,12 +63,18 @@ def test_damage_never_escapes_as_something_else(tmp_path):
 
 def test_source(spark, tmp_path):
     archive.write_archive(path := str(tmp_path / "a.zim"), entries(), per_cluster=2)
-    archive.register(spark)
-    df = spark.read.format("archive").option("clustersPerPartition", 2).load(path)
+    df = archive.read_archive(spark, path, clustersPerPartition=2, entriesPerPartition=5)
     got = {r.path: r for r in df.collect()}
-    assert len(got) == 12 and got["Doer"].kind == "redirect" and bytes(got["style.css"].content) == b"p{}"
-    assert spark.read.format("archive").option("namespace", "M").load(path).count() == 2
-    assert spark.read.format("archive").option("content", "false").load(path).where("content IS NOT NULL").count() == 0
+    assert len(got) == df.count() == 12 and got["Doer"].kind == "redirect" and got["Doer"].content is None
+    one = archive.Archive(path)
+    assert all(bytes(r.content) == one.content(r.entry) for r in got.values() if r.kind == "content")
+    assert archive.read_archive(spark, path, "M").count() == 2
+    read = lambda **o: spark.read.format("archive").options(**o).load(path)
+    assert "content" not in read().columns and read(entriesPerPartition=5).rdd.getNumPartitions() == 3
+    assert sorted(r.entry for r in read(table="front", entriesPerPartition=2).collect()) == sorted(one.front_articles())
+    archive.write_archive(old := str(tmp_path / "o.zim"), entries("A"), (5, 0))
+    front = spark.read.format("archive").options(table="front", entriesPerPartition=4).load(old)
+    assert sorted(r.entry for r in front.collect()) == sorted(archive.Archive(old).front_articles())
 
 
 @pytest.fixture(scope="module")
