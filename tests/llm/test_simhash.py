@@ -80,7 +80,9 @@ def test_band_masks_find_every_pair():
 def test_components_of_long_chains(spark):
     """The least id at either end of a path, and a star: few rounds, no cap."""
     edges = [(i, i + 1) for i in range(1, 300)] + [(1300 - i, 1299 - i) for i in range(299)] + [(5000, 5000 + i) for i in range(1, 60)] + [(7, 7), (9000, 9000)]
-    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    df = spark.createDataFrame(edges, "a long, b long")
+    got, rest = ({r.node: r.label for r in components(df, n).collect()} for n in (0, 300))
+    assert rest == got == {r.node: r.label for r in components(df).collect()}
     want = {i: 1 for i in range(1, 301)} | {i: 1001 for i in range(1001, 1301)} | {i: 5000 for i in range(5000, 5060)}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
