@@ -44,8 +44,10 @@ from .suffix_array import repeat_classes
 
 GRAM, MANY = 32, 400
 NO_ID = -(1 << 63)
-CHUNK = 1 << 19  # bytes hashed at once
-FLUSH = 250_000  # records sorted at once
+CHUNK = 1 << 18  # bytes hashed at once
+FLUSH = 120_000  # records sorted at once
+LOT = 120_000  # records settled at once, about
+SORTED = 1 << 19  # bytes in one suffix array, about
 U = np.uint64
 BASES = (U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95))
 
@@ -59,7 +61,7 @@ def letters() -> np.ndarray:
     return np.random.default_rng(20).integers(0, 1 << 64, 256, dtype=np.uint64)
 
 
-@lru_cache(maxsize=8)
+@lru_cache(maxsize=4)
 def powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of a base and of its inverse, modulo 2**64."""
     base = BASES[which]
@@ -75,7 +77,7 @@ class Rolling:
     """Hashes of any piece of a run of bytes."""
 
     def __init__(self, data: np.ndarray, which: int):
-        size = 1 << max(20, len(data).bit_length())
+        size = 1 << max(16, len(data).bit_length())
         self.up, self.down = powers(which, size)
         self.sums = np.zeros(len(data) + 1, np.uint64)
         np.cumsum(letters()[data] * self.up[: len(data)], out=self.sums[1:])
@@ -235,7 +237,7 @@ def find_anchors(df: DataFrame, id_col: str, text_col: str, length: int, n: int,
             yield flush()
 
     who = _who(df, id_col, text_col)
-    return df.select(who[0].alias("id"), who[1].alias("th"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, EXCHANGE)
+    return df.select(who[0].alias("id"), who[1].alias("th"), F.col(text_col).cast("string").alias("text")).mapInArrow(storage.tidy(run), EXCHANGE)
 
 
 MARKS = "id long, th int, position long, back int, span int, kind int, gram long"
@@ -250,17 +252,8 @@ def marks(columns: list[np.ndarray], kind: np.ndarray | int, gram: np.ndarray |
 
 def settle_contexts(records: DataFrame, many: int = MANY) -> DataFrame:
     """Marks of equal contexts (kind 0), and the contexts to be compared (kind 1; 2 for anchors with many)."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        for batch in batches:
-            for kind, size, blob in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                if kind == 0:
-                    yield marks(unpack(blob, size, PLACE)[:5], 0)
-                else:
-                    held.append(unpack(blob, size, NAMED)[:7])
-        if not held:
-            return
-        columns, first = settled([np.concatenate(c) for c in zip(*held, strict=True)], 2)
+    def settle(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        columns, first = settled(columns, 2)
         yield marks([c[~first] for c in columns[2:]], 0)
         columns = [c[first] for c in columns]
         new = np.concatenate(([True], columns[0][1:] != columns[0][:-1]))
@@ -269,7 +262,32 @@ def settle_contexts(records: DataFrame, many: int = MANY) -> DataFrame:
         several = size > 1
         yield marks([c[several] for c in columns[2:]], np.where(size[several] > many, 2, 1), columns[0][several])
 
-    return records.mapInArrow(run, MARKS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # What waits is held compressed, and settled in ranges of the anchor hash.
+        held: list[tuple[int, bytes]] = []
+        total, low, high = 0, (1 << 64) - 1, 0
+        for batch in batches:
+            for kind, size, blob in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                if kind == 0:
+                    yield marks(unpack(blob, size, PLACE)[:5], 0)
+                    continue
+                grams = unpack(blob, size, NAMED)[0]
+                held.append((size, blob))
+                total, low, high = total + len(grams), min(low, int(grams[0])), max(high, int(grams[-1]))
+        ranges = max(1, -(-total // LOT))
+        edges = [low + (high + 1 - low) * i // ranges for i in range(ranges)]
+        for n, first in enumerate(edges if held else []):
+            parts = []
+            for size, blob in held:
+                columns = unpack(blob, size, NAMED)[:7]
+                a = int(np.searchsorted(columns[0], U(first)))
+                b = int(np.searchsorted(columns[0], U(edges[n + 1]))) if n + 1 < ranges else len(columns[0])
+                if a < b:
+                    parts.append([c[a:b] for c in columns])
+            if parts:
+                yield from settle([np.concatenate(c) for c in zip(*parts, strict=True)])
+
+    return records.mapInArrow(storage.tidy(run), MARKS)
 
 
 def fetch_contexts(texts: DataFrame, length: int, n: int) -> DataFrame:
@@ -314,15 +332,15 @@ def fetch_contexts(texts: DataFrame, length: int, n: int) -> DataFrame:
                             m = len(own)
                             windows.append([own, np.full(m, w["gram"] & (1 << 64) - 1, np.uint64), np.full(m, i, np.int64), np.full(m, h, np.int32), begin + np.arange(m), np.zeros(m, np.uint8), np.zeros(m, np.uint8)])
                             count += m
-                    if size > 1 << 22 or count > FLUSH:
+                    if size > 1 << 21 or count > FLUSH:
                         yield from flush()
                         held, windows, size, count = [], [], 0, 0
         yield from flush()
 
-    return texts.mapInArrow(run, EXCHANGE)
+    return texts.mapInArrow(storage.tidy(run), EXCHANGE)
 
 
-def compare_contexts(records: DataFrame, length: int, most_bytes: int = 1 << 21) -> DataFrame:
+def compare_contexts(records: DataFrame, length: int, most_bytes: int = SORTED) -> DataFrame:
     """Marks of all windows whose bytes start earlier in another context of their anchor."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         contexts: list[list[np.ndarray]] = []
@@ -374,7 +392,7 @@ def compare_contexts(records: DataFrame, length: int, most_bytes: int = 1 << 21)
                 run_length = np.diff(np.concatenate((heads, [len(order2)]))) - 1
                 yield marks([again[0][heads], again[1][heads], again[2][heads], np.zeros(len(heads)), run_length], 0)
 
-    return records.mapInArrow(run, MARKS)
+    return records.mapInArrow(storage.tidy(run), MARKS)
 
 
 def covered(marked: DataFrame, length: int) -> DataFrame:
@@ -429,7 +447,7 @@ def substring_digest(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 1024), *(pa.array(c, pa.int64()) for c in got[:3]), pa.array(got[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     slim = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return _joined(slim, "doc_id", "text", length, **limits).select("doc_id", "text", "__runs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _joined(slim, "doc_id", "text", length, **limits).select("doc_id", "text", "__runs").mapInArrow(storage.tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cut_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100) -> DataFrame:
@@ -444,4 +462,4 @@ def cut_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
             column = pa.array([t if k else None for t, k in zip(texts, known, strict=True)], batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays([column if i == at else batch.column(i) for i in range(batch.num_columns - 1)], batch.schema.names[:-1])
 
-    return _joined(df, id_col, text_col, length).select(*df.columns, "__runs").mapInArrow(run, df.schema)
+    return _joined(df, id_col, text_col, length).select(*df.columns, "__runs").mapInArrow(storage.tidy(run), df.schema)
