@@ -18,7 +18,9 @@ unknown, so sum to one after any context.
 Counts are reduced in each task and dealt in packed form; a context's successors are dealt
 over ``SPREAD`` parts, so a frequent word burdens no single task. Levels are files in the
 shared folder, one a part, that scoring tasks map into memory; only the list of files and
-the totals N and V go to the driver.
+the totals N and V go to the driver. A worker opens parts as it needs them and closes the
+oldest beyond ``MOST_HELD`` bytes of directories (and of files, where a store cannot be mapped),
+so its memory does not grow with the model, but a lot of texts then opens parts again.
 
 Defined cases: null and empty texts are one end token; null ids count as empty text where
 rows are held out; repeated rows count and are scored each time; with nothing to learn
@@ -46,6 +48,7 @@ U = np.uint64
 END = b" "  # no word has a blank, so this stands for the end token
 SPREAD = 16
 STEP = 4096  # codes of a power of ten
+MOST_HELD = 1 << 26  # bytes of memory for the open parts of a level in one worker
 EXCHANGE = "part int, kind int, size long, blob binary"
 
 
@@ -125,10 +128,11 @@ class Level:
         sizes = [files[p][1] if p in files else 0 for p in range(n_parts)]
         self.starts = np.concatenate(([0], np.cumsum(sizes)))
         self.weights: dict[int, str] = {}
-        self.open: dict[int, dict] = {}
+        self.open: dict[int, dict] = {}  # the least recently opened first
+        self.held: dict[int, int] = {}  # bytes of memory that an open part takes
 
     def __getstate__(self):
-        return self.__dict__ | {"open": {}}
+        return self.__dict__ | {"open": {}, "held": {}}
 
     def part(self, p: int) -> dict:
         if p not in self.open:
@@ -140,7 +144,12 @@ class Level:
                 got |= {k: EliasFano.of(nest(k, a)) for k in ("contexts", "pointers", "successors")}
             if p in self.weights:
                 got["weight"] = load(self.weights[p])["weight"]
-            self.open[p] = got
+            fetched = 0 if storage.mounted(self.files[p][0]) else sum(x.nbytes for x in a.values())
+            held = fetched + sum(x.ones_before.nbytes + x.zeros_before.nbytes for x in got.values() if isinstance(x, EliasFano))
+            while self.open and sum(self.held.values()) + held > MOST_HELD:
+                oldest = next(iter(self.open))
+                del self.open[oldest], self.held[oldest]
+            self.open[p], self.held[p] = got, held
         return self.open[p]
 
     def _by_part(self, parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -396,7 +405,7 @@ def train(df: DataFrame, text_col: str = "text", order: int = 2) -> Model:
         made = storage.settle(count_grams(texts, model, k, k == order, folder, n), "lm-grams")
         lower = model.levels[-1]
         lower.weights = {p: f[0] for p, f in _files(storage.settle(weigh_contexts(made, lower, folder, n), "lm-weights")).items()}
-        lower.open = {}
+        lower.open, lower.held = {}, {}
         model.levels.append(Level(k, n, {p: (f[0], f[1]) for p, f in _files(made).items()}, model.vocabulary))
     return model
 

@@ -122,6 +122,11 @@ def create(uri: str):
     return system.open_output_stream(path)
 
 
+def mounted(uri: str) -> bool:
+    """Whether ``mapped`` maps the file into memory instead of fetching it."""
+    return isinstance(locate(uri)[0], fs.LocalFileSystem)
+
+
 def mapped(uri: str) -> pa.Buffer:
     """The bytes of a file: memory-mapped on a mounted store, fetched whole elsewhere."""
     system, path = locate(uri)

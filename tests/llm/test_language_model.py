@@ -76,3 +76,16 @@ def test_held_out_texts_gain(spark):
     base, own = sum(r.base_score for r in rows), sum(r.score for r in rows)
     print("held-out log10 a token: base", base / sum(r.n_tokens for r in rows), "model", own / sum(r.n_tokens for r in rows))
     assert own > base
+
+
+def test_parts_are_closed_beyond_the_bound(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"a b c w{i} w{i + 1} d e") for i in range(80)], "doc_id long, text string")
+    model = language_model.train(docs, order=2)
+    level = model.levels[1]
+    assert len(level.files) > 1
+    contexts, words = np.repeat(np.arange(model.vocabulary), model.vocabulary), np.tile(np.arange(model.vocabulary), model.vocabulary)
+    want = level.find(contexts, words)
+    assert (want >= 0).any() and len(level.open) == len(level.files)
+    monkeypatch.setattr(language_model, "MOST_HELD", 1)
+    level.open, level.held = {}, {}
+    assert np.array_equal(level.find(contexts, words), want) and len(level.open) == 1
