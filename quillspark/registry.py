@@ -219,6 +219,21 @@ STUBS = (
 )
 
 
+#: Small pages at the path A/P: (html, title, body, summary, links).
+PAGES = (
+    ("<h1>Own  title</h1><p>a <b>b</b> <i>c</i></p>", "Own title", "Own title\na b c\n", "a b c", ""),
+    ("<p>x<br>y<br><br> z </p>loose <span>text</span>", "T", "T\nx\ny\nz\nloose text\n", "x\ny\nz", ""),
+    ("<ul><li>a<ol><li>b</ol><li>c</ul><dl><dt>t<dd>d</dl>", "T", "T\na\nb\nc\nt\nd\n", "", ""),
+    ("<blockquote>q</blockquote><pre> code\n x </pre><div class='hatnote'>see</div><p>p</p>", "T", "T\nq\n code\n x\nsee\np\n", "p", ""),
+    ("<table class='infobox'><tr><th class='infobox-above'>N<tr><th>Born<td>1867<tr><td>alone</table>", "T", "T\nBorn: 1867\nalone\n", "", ""),
+    ("<table><tr><th>1<td>2<tr><td><tr><td>3</table>", "T", "T\n1 | 2 | \n3 | \n", "", ""),
+    ("<p>l</p><h2>Gone</h2><h2>Kept</h2><h3 id=d>Deep</h3><p>x</p>", "T", "T\nl\nKept\nDeep\nx\n", "l", ""),
+    ("<p>a <a href='B#c%20d'>b</a><a href='#f'> g</a> <a href='https://x.org'>h</a></p>", "T", "T\na b g h\n", "a b g h", "internal A/B c d,anchor  f,external  "),
+    ("<p>a<sup class='reference'>1</sup><span style='display: none'>h</span><script>s</script>b</p><div class='navbox'><p>n</p></div>", "T", "T\nab\n", "ab", ""),
+    ("<p> </p>", "T", "T\n", "", ""), ("", "T", "T\n", "", ""),
+)
+
+
 def _listed(rows: tuple, *columns: str) -> str:
     said = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
     return f"(VALUES {', '.join('(' + ', '.join(map(said, r)) + ')' for r in rows)}) AS v({', '.join(columns)})"
@@ -232,6 +247,15 @@ def href_cases(spark, sf_dir):
     return rows.select("href", *(link[k].alias(k) for k in ("kind", "path", "fragment", "url")))
 
 
+@query(f"SELECT html, title, body, summary, links FROM {_listed(PAGES, 'html', 'title', 'body', 'summary', 'links')}")
+def document_cases(spark, sf_dir):
+    """Every kind of block and what is left out; the twin states the expected documents."""
+    rows = spark.createDataFrame([(n, "A/P", "T", r[0]) for n, r in enumerate(PAGES)], "entry long, path string, title string, html string")
+    links = F.transform("links", lambda x: F.concat_ws(" ", x["kind"], F.coalesce(x["path"], F.lit("")), F.coalesce(x["fragment"], F.lit(""))))
+    parsed = document.parse_documents(rows).select("entry", "title", "body", "summary", F.array_join(links, ",").alias("links"))
+    return rows.select("entry", "html").join(parsed, "entry").drop("entry")
+
+
 @query(f"SELECT html, leads FROM {_listed(STUBS, 'html', 'leads')}")
 def stub_cases(spark, sf_dir):
     """Every form of a refresh; the twin states the expected rows."""
