@@ -6,7 +6,6 @@ What needs all sections of one document takes windows over it that cost one pass
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -157,18 +156,35 @@ def mixed_seed(seed: int) -> int:
     return z ^ z >> 31
 
 
+#: Fixed value: a pass over the entries settles so many bits of the one that is looked for.
+PICK_BITS = 10
+
+
 def random_article(articles: DataFrame, seed: int) -> DataFrame:
-    """The article that a seed picks from the list in order of entry; no row if there is none."""
-    n = articles.count()
-    if not n:
-        return articles.select("entry")
-    place = mixed_seed(seed) % n
-    # Ranks by range: each partition's size places the one that holds the wanted row.
-    ordered = articles.select("entry").repartitionByRange("entry").sortWithinPartitions("entry").withColumn("__p", F.spark_partition_id())
-    sizes = {r["__p"]: r["n"] for r in ordered.groupBy("__p").agg(F.count("*").alias("n")).collect()}
-    for p in sorted(sizes):
-        if place < sizes[p]:
-            break
-        place -= sizes[p]
-    mine = ordered.where(F.col("__p") == p)
-    return mine.withColumn("__n", F.row_number().over(Window.partitionBy("__p").orderBy("entry"))).where(F.col("__n") == int(np.int64(place)) + 1).select("entry")
+    """The article that a seed picks from the list in order of entry; no row if there is none.
+
+    Entries are whole numbers, nulls come last. Each pass counts the entries by their upper bits and
+    goes on in the range that holds the wanted one: what is collected has 2 ** PICK_BITS + 1 rows at
+    most, and nothing depends on how Spark deals out the rows.
+    """
+    entries = articles.select("entry")
+    value = F.col("entry").cast("long")
+    rows, known, low, high = entries.agg(F.count("*"), F.count(value), F.min(value), F.max(value)).first()
+    if not rows:
+        return entries
+    place = mixed_seed(seed) % rows
+    if place >= known:
+        return entries.where("entry IS NULL").limit(1)
+    shift = 0
+    while (high >> shift) - (low >> shift) > 1 << PICK_BITS:
+        shift += PICK_BITS
+    while True:
+        counts = entries.where(value.between(low, high)).groupBy(F.shiftright(value, shift).alias("upper")).agg(F.count("*").alias("n")).collect()
+        for upper, n in sorted(counts):
+            if place < n:
+                break
+            place -= n
+        low, high = upper << shift, (upper + 1 << shift) - 1
+        if not shift:
+            return entries.where(value == low).limit(1)
+        shift -= PICK_BITS
