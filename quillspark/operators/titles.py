@@ -66,18 +66,18 @@ def decorated(found: DataFrame, entry_titles: DataFrame, stubs: DataFrame) -> Da
     """Suggestions for a reader: ``(article, title, matched, fragment, inbound, exact)``, best first.
 
     ``found`` are the few rows that ``hits`` has left by its limit; they look up the article's own
-    title in ``entry_titles (entry, title)``, the title that matched where it is another entry's,
-    and the section where that entry is a section redirect of ``stubs (stub, fragment)``.
+    title in ``entry_titles (entry, title)`` and, where the title that matched is another entry's,
+    the section if that entry is a section redirect of ``stubs (stub, fragment)``, a row a stub.
+    An article that has several titles of its own there comes once with each, in their order.
     """
     own = entry_titles.select(F.col("entry").alias("target"), F.col("title").alias("own"))
-    other = entry_titles.select("entry", F.col("title").alias("alias"))
     ranked = found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("exact"), F.desc("score"), F.octet_length("title"), "target")))
     ranked = ranked.select("rank", "target", "entry", "title", "score", "exact")
     led = stubs.select(F.col("stub").alias("entry"), "fragment")
-    joined = ranked.join(own, "target", "left").join(other, "entry", "left").join(led, "entry", "left")
-    matched = F.when(F.col("entry") != F.col("target"), F.coalesce("alias", "title"))
-    shown = joined.select("rank", F.col("target").alias("article"), F.coalesce("own", "title").alias("title"), matched.alias("matched"), "fragment", F.col("score").alias("inbound"), "exact")
-    return shown.orderBy("rank").drop("rank")
+    joined = ranked.join(own, "target", "left").join(led, "entry", "left")
+    matched = F.when(F.col("entry") != F.col("target"), F.col("title"))
+    shown = joined.select("rank", "own", F.col("target").alias("article"), F.coalesce("own", "title").alias("title"), matched.alias("matched"), "fragment", F.col("score").alias("inbound"), "exact")
+    return shown.orderBy("rank", "own").drop("rank", "own")
 
 
 def suggest_many(titles: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:

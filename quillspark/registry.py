@@ -199,11 +199,15 @@ SELECT target AS article, own AS title, CASE WHEN entry <> target THEN title END
 FROM f ORDER BY title = 'red' DESC, score DESC, strlen(title), target LIMIT 10
 """)
 def suggest_rows(spark, sf_dir):
-    """Suggestions with the article's own title, the alias that matched, and the section it leads to."""
+    """Suggestions with the article's own title, the alias that matched, and the section it leads to.
+
+    Where keys are a million apart, entries are shared: an article then has several own titles, and
+    each makes a row before the limit.
+    """
     rows = _aliases(spark, sf_dir)
     score = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("node")).agg(F.count("*").alias("inbound"))
-    stubs = rows.where("entry > 2000000").select(F.col("entry").alias("stub"), F.concat(F.lit("Part "), (F.col("entry") % 7).cast("string")).alias("fragment"))
-    return titles.decorated(titles.hits(titles.build_titles(rows, score, norm=F.col("title")), "Red", 10), rows, stubs)
+    stubs = rows.where("entry > 2000000").select(F.col("entry").alias("stub"), F.concat(F.lit("Part "), (F.col("entry") % 7).cast("string")).alias("fragment")).distinct()
+    return titles.decorated(titles.hits(titles.build_titles(rows, score, norm=F.col("title")), "Red", 10), rows, stubs).limit(10)
 
 
 #: Addresses that reach every branch: (href, kind, path, fragment, url), seen from the page A/P/Q.

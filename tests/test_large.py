@@ -1,8 +1,10 @@
 """Results that do not depend on how many rows there are or how Spark deals them out."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark import registry
 from quillspark.operators import sections
 
 
@@ -23,3 +25,17 @@ def test_random_article_of_few(spark, values):
     ordered = sorted(values, key=lambda v: (v is None, v))
     for seed in range(3):
         assert [r["entry"] for r in sections.random_article(entries, seed).collect()] == ([ordered[sections.mixed_seed(seed) % len(values)]] if values else [])
+
+
+def test_suggest_rows_where_entries_are_shared(spark, tmp_path):
+    """Keys a million apart: an article's key is also the entry of another one's alias."""
+    parts = [(i * 1000000 + 1, "red bolt", f"Brand#{i}", "SMALL") for i in range(5)]
+    lines = [(o, i * 1000000 + 1) for i, n in enumerate((9, 1, 7, 6, 5)) for o in range(n)]  # 1 + 3 + 3 + 3 rows, then 2 that the limit cuts off
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    for name in ("part", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    answer = con.execute(registry.ORACLE_SQL["suggest_rows"])
+    columns = [d[0] for d in answer.description]
+    assert sorted(map(str, answer.fetchall())) == sorted(str(tuple(r)) for r in registry.QUERIES["suggest_rows"](spark, str(tmp_path)).select(*columns).collect())
