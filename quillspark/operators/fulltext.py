@@ -18,20 +18,27 @@ K1, B = 1.2, 0.75
 FIELDS = tuple(FIELD_WEIGHTS)
 
 
-def _words(field: str, stem: bool) -> Column:
-    found = text.terms(F.coalesce(field, F.lit("")))
-    return stem_all(found) if stem else found
+def _words(field: str) -> Column:
+    return text.terms(F.coalesce(field, F.lit("")))
 
 
 def postings(docs: DataFrame, fields: tuple[str, ...] = FIELDS, stem: bool = False, only: list[str] | None = None) -> DataFrame:
     """``(term, field, entry, tf, len)`` of ``docs (entry, *fields)``; len counts the field's terms.
 
     With ``only``, postings of these terms alone: other words are dropped before they become rows.
+    Texts do not go to Python to be stemmed: with ``only`` it sees each different word once, and the
+    forms of these terms, as few as a stem has endings, are looked up; else it sees a row a word.
     """
-    by_field = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), _words(f, stem).alias("words")) for f in fields]))
-    rows = docs.select("entry", by_field.alias("f"))
-    kept = F.col("f.words") if only is None else F.filter("f.words", lambda w: w.isin(only))
-    rows = rows.select("entry", "f.field", F.size("f.words").alias("len"), F.explode(kept).alias("term"))
+    by_field = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), _words(f).alias("words")) for f in fields]))
+    # Counted before the words become rows, so that no row of a word carries all of them.
+    found = docs.select("entry", by_field.alias("f")).select("entry", "f.field", F.size("f.words").alias("len"), "f.words")
+    kept = F.col("words") if only is None or stem else F.filter("words", lambda w: w.isin(only))
+    rows = found.select("entry", "field", "len", F.explode(kept).alias("term"))
+    if stem and only is not None:
+        known = found.select(F.explode("words").alias("term")).distinct().withColumn("stem", stem_each("term"))
+        rows = rows.join(F.broadcast(known.where(F.col("stem").isin(only))), "term").drop("term").withColumnRenamed("stem", "term")
+    elif stem:
+        rows = rows.withColumn("term", stem_each("term"))
     return rows.groupBy("term", "field", "entry", "len").agg(F.count("*").alias("tf")).select("term", "field", "entry", "tf", "len")
 
 
@@ -41,16 +48,16 @@ def field_stats(posted: DataFrame, docs: DataFrame) -> DataFrame:
     return lengths.crossJoin(F.broadcast(docs.agg(F.count("*").alias("n_docs")))).select("field", (F.col("total") / F.col("n_docs")).alias("avg_len"), "n_docs")
 
 
-def lengths(docs: DataFrame, fields: tuple[str, ...] = FIELDS, stem: bool = False) -> DataFrame:
-    """``field_stats`` from the documents themselves, in one pass that exchanges a row a task."""
-    sums = docs.agg(F.count("*").alias("n_docs"), *[F.sum(F.size(_words(f, stem))).alias(f) for f in fields])
+def lengths(docs: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """``field_stats`` from the documents themselves, stemmed or not, in one pass that exchanges a row a task."""
+    sums = docs.agg(F.count("*").alias("n_docs"), *[F.sum(F.size(_words(f))).alias(f) for f in fields])
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("total")) for f in fields])).alias("s")
     return sums.select("n_docs", each).select("s.field", (F.col("s.total") / F.col("n_docs")).alias("avg_len"), "n_docs").where("avg_len > 0")
 
 
 def term_statistics(docs: DataFrame, field: str = "body") -> DataFrame:
     """``(term, df, cf)``: documents and occurrences of each term, summed in each task before the exchange."""
-    words = _words(field, False)
+    words = _words(field)
     seen = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("term"), F.lit(1).alias("df"), F.lit(0).alias("cf")))
     met = F.transform(words, lambda w: F.struct(w.alias("term"), F.lit(0).alias("df"), F.lit(1).alias("cf")))
     return docs.select(F.inline(F.concat(seen, met))).groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
@@ -122,7 +129,7 @@ def _short(w: str) -> bool:
     return len(w) > 2 and w[-3] not in VOWELS and w[-2] in VOWELS and w[-1] not in VOWELS + "wxY"
 
 
-@lru_cache(maxsize=200_000)
+@lru_cache(maxsize=50_000)
 def stemmed(word: str) -> str:
     """English (Porter2) stem of a lower-case word."""
     if len(word) <= 2:
@@ -192,5 +199,11 @@ def stemmed(word: str) -> str:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stem_all(words: pd.Series) -> pd.Series:
-    """Arrow function: stems of an array of words."""
+    """Arrow function: stems of an array of words; for queries, since a batch of texts may be large."""
     return words.map(lambda ws: [stemmed(w) for w in ws], na_action="ignore")
+
+
+@F.pandas_udf(T.StringType())
+def stem_each(words: pd.Series) -> pd.Series:
+    """Arrow function: the stem of a word."""
+    return words.map(stemmed, na_action="ignore")

@@ -603,7 +603,7 @@ def page_links(spark, sf_dir):
 def stemmed_search(spark, sf_dir):
     """Search over stems: other forms of the words count too."""
     docs = _text_docs(spark, sf_dir)
-    posted = fulltext.postings(docs, stem=True, only=fulltext.query_terms(spark, "being others", stem=True))
+    posted = settled(fulltext.postings(docs, stem=True, only=fulltext.query_terms(spark, "being others", stem=True)))
     none = spark.createDataFrame([], "node long, inbound long")
     return fulltext.search(posted, fulltext.lengths(docs), none, "being others", 10, stem=True)
 

@@ -1,11 +1,13 @@
 """Results that do not depend on how many rows there are or how Spark deals them out."""
 
+from collections import Counter
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark import registry
-from quillspark.operators import sections
+from quillspark.operators import fulltext, sections
 
 
 @pytest.mark.parametrize("seed", range(4))
@@ -39,3 +41,19 @@ def test_suggest_rows_where_entries_are_shared(spark, tmp_path):
     answer = con.execute(registry.ORACLE_SQL["suggest_rows"])
     columns = [d[0] for d in answer.description]
     assert sorted(map(str, answer.fetchall())) == sorted(str(tuple(r)) for r in registry.QUERIES["suggest_rows"](spark, str(tmp_path)).select(*columns).collect())
+
+
+@pytest.mark.parametrize("only", [None, ["be", "other", "absent"], []])
+def test_stems_take_words_to_python_not_texts(spark, only):
+    """A batch of Python holds so many words, however long the texts are."""
+    bodies = ["being others Being", None, "", "x-ray others' other beings " * 300, "the die, dying"]
+    docs = spark.createDataFrame([(n, "Others be" if n % 2 else None, b) for n, b in enumerate(bodies)], "entry long, title string, body string")
+    posted = fulltext.postings(docs, ("title", "body"), stem=True, only=only)
+    plan = posted._jdf.queryExecution().optimizedPlan().toString()
+    assert "stem_all(" not in plan and ("stem_each(term" in plan or only == [])
+    want = Counter()
+    for n, b in enumerate(bodies):
+        for field, value in (("title", "others be" if n % 2 else ""), ("body", (b or "").lower())):
+            words = value.replace("-", " ").replace("'", " ").replace(",", " ").split()
+            want.update((fulltext.stemmed(w), field, n, len(words)) for w in words if only is None or fulltext.stemmed(w) in only)
+    assert {(r["term"], r["field"], r["entry"], r["len"]): r["tf"] for r in posted.collect()} == want
